@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, sharding, token_blocks
+from . import media, mixing, packing, sharding, suffix_dedup, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), width=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(_documents(spark, sf_dir))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -46,6 +51,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeated_windows": repeated_windows,
     "op3_histogram_sharding": histogram_sharding,
     "op6_token_files": token_files,
     "op7_telephony_audio": telephony_audio,
