@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, sharding, suffix_dedup, token_blocks
+from . import jaccard_join, media, mixing, packing, sharding, suffix_dedup, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_components(_documents(spark, sf_dir), width=3, similarity=Fraction(9, 10))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=True).drop("ids")
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": token_files,
     "op7_telephony_audio": telephony_audio,
     "op8_source_mixing": source_mixing,
+    "op9_ngram_jaccard": ngram_jaccard,
     "op10_best_fit_packing": best_fit_packing,
 }
 
