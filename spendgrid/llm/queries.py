@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, media, mixing, packing, sharding, suffix_dedup, token_blocks
+from . import jaccard_join, langid, media, mixing, packing, sharding, suffix_dedup, token_blocks, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,24 @@ def histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(~_held_out()))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", _held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    filters = langid.train(docs.where(~_held_out()))
+    out = langid.identify(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_blocks.token_segments(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_blocks.read_tokens(files, with_ids=False)
@@ -59,6 +77,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_windows": repeated_windows,
     "op3_histogram_sharding": histogram_sharding,
+    "op4_toxicity_scores": toxicity_scores,
+    "op5_language_id": language_id,
     "op6_token_files": token_files,
     "op7_telephony_audio": telephony_audio,
     "op8_source_mixing": source_mixing,
