@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, media, mixing, packing, sharding, suffix_dedup, token_blocks, toxicity
+from . import embedding_dedup, jaccard_join, langid, media, mixing, packing, sharding, suffix_dedup, token_blocks, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), width=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,6 +79,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_forest": embedding_forest,
     "op2_repeated_windows": repeated_windows,
     "op3_histogram_sharding": histogram_sharding,
     "op4_toxicity_scores": toxicity_scores,
