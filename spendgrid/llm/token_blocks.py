@@ -78,6 +78,7 @@ def unpack(raw: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     places, at = view("u1", odd, at)
     values, at = view("<u4", odd, at)
     last = blocks if last is None else min(last, blocks)
+    first = min(first, last)
     out = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width[first:last]):
         if w == 0:
@@ -126,7 +127,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, keeps_space
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, target=1 << 22):
                 ids, per = with_end(*enc.encode(piece.column(1)), end_id)
                 keys = piece.column(0)
                 held.append((ids, per, keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 
 #: Distinct chunks that a worker remembers before it starts anew; bounds its memory.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 
 
 class Encoder:
@@ -27,36 +27,64 @@ class Encoder:
         self.keeps_space = keeps_space
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pre, self.model, self.normal = self.whole.pre_tokenizer, self.whole.model, self.whole.normalizer
+        # runs of Latin letters are one pre-token each; what the tokenizer makes of each letter is asked of it once
+        self.latin = {ord(c): "".join(w for w, _ in self._pre(c)) for c in map(chr, [*range(65, 91), *range(97, 123), *range(128, 256)]) if c.isalpha()}
+        self.space = self._pre(" a")[0][0][: -len(self.latin[97])] if keeps_space else ""
         self._reset()
 
     def _reset(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, int] = {}  # chunk -> code: its ids are flat[ends[code]:ends[code + 1]]
+        self.spaced: dict[str, int] = {}  # the same for a chunk with the space before it
         self.flat, self.ends = array("I"), array("q", [0])
 
-    def _ids(self, chunk: str) -> tuple[int, ...]:
-        if any(s in chunk for s in self.special):
-            return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if self.normal is not None:
-            chunk = self.normal.normalize_str(chunk)
-        out: tuple[int, ...] = ()
-        for word, _ in self.pre.pre_tokenize_str(chunk):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = tuple(t.id for t in self.model.tokenize(word))
-            out += ids
-        return out
+    def _pre(self, chunk: str) -> list[tuple[str, tuple[int, int]]]:
+        return self.pre.pre_tokenize_str(chunk if self.normal is None else self.normal.normalize_str(chunk))
 
-    def _code(self, chunk: str) -> int:
-        code = self.chunks.get(chunk)
+    def _known(self, chunk: str, spaced: bool) -> array:
+        code = (self.spaced if spaced else self.bare).get(chunk)
         if code is None:
-            code = self.chunks[chunk] = len(self.ends) - 1
-            self.flat.extend(self._ids(chunk))
-            self.ends.append(len(self.flat))
-        return code
+            self._learn([chunk], spaced)
+            code = len(self.ends) - 2
+        return self.flat[self.ends[code] : self.ends[code + 1]]
+
+    def _learn(self, chunks: list[str], spaced: bool) -> None:
+        codes, prefix = (self.spaced, self.space) if spaced else (self.bare, "")
+        tokenize, latin, flat, ends = self.model.tokenize, self.latin, self.flat, self.ends
+        for chunk in chunks:
+            if chunk.isalpha() and max(chunk) < "\u0100":
+                ids = [t.id for t in tokenize(prefix + chunk.translate(latin))]
+            else:
+                ids = self._composed(chunk, spaced)
+            codes[chunk] = len(ends) - 1
+            flat.extend(ids)
+            ends.append(len(flat))
+
+    def _composed(self, chunk: str, spaced: bool) -> list[int] | array:
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():  # a letter run and a mark are pre-tokens of their own
+            return self._known(chunk[:-1], spaced) + self._known(chunk[-1], False)
+        whole = " " + chunk if spaced and self.keeps_space else chunk
+        if any(s in chunk for s in self.special):
+            return self.whole.encode(whole, add_special_tokens=False).ids
+        lines = chunk.split("\n")
+        if len(lines) > 1 and not any(not x or x[-1].isspace() for x in lines):  # single line feeds are pre-tokens too, or dropped
+            out = self._known(lines[0], spaced)[:]
+            for line in lines[1:]:
+                if self.keeps_space:
+                    out += self._known("\n", False)
+                out += self._known(line, False)
+            return out
+        return [t.id for word, _ in self._pre(whole) for t in self.model.tokenize(word)]
+
+    def _codes(self, chunks: list[str], spaced: bool) -> list[int]:
+        get = (self.spaced if spaced else self.bare).get
+        out = [get(c) for c in chunks]
+        if None in out:
+            self._learn([c for c, k in zip(chunks, out, strict=True) if k is None], spaced)
+            out = [get(c) for c in chunks]
+        return out
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.chunks) > REMEMBERED:
+        if len(self.ends) > REMEMBERED:
             self._reset()
         if len(col) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -73,7 +101,8 @@ class Encoder:
         odd = np.zeros(len(col), bool)
         codes = np.zeros(2 * n, np.int64)  # without and with the space before
         if self.keeps_space:
-            open_ended = np.fromiter((not t or t[-1].isspace() for t in texts), bool, n)
+            # (an empty chunk or white space before a space: the cut there would not be safe)
+            open_ended = pc.match_substring_regex(coded.dictionary, r"(^|[^!-~\x{a1}-\x{167f}\x{1681}-\x{1fff}])$").to_numpy(zero_copy_only=False)
             last = np.zeros(len(at), bool)
             last[off[1:] - 1] = True
             bad = open_ended[at] & ~last
@@ -81,11 +110,12 @@ class Encoder:
             used = np.zeros(2 * n, bool)
             which = at + n * ~first
             used[which] = True
-            for k in np.flatnonzero(used):
-                codes[k] = self._code(texts[k] if k < n else " " + texts[k - n])
+            for spaced, which_used in ((False, used[:n]), (True, used[n:])):
+                k = np.flatnonzero(which_used)
+                codes[k + n * spaced] = self._codes([texts[i] for i in k.tolist()], spaced)
         else:
             which = at
-            codes[:n] = [self._code(t) for t in texts]
+            codes[:n] = self._codes(texts, False)
         ends = np.frombuffer(self.ends, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         code = codes[which]
