@@ -162,7 +162,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", target: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", target: int = 1 << 19, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `target` bytes of text and at most `rows` rows; a longer text is a piece of its own."""
     _, off = text_buffer(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
