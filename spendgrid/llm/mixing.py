@@ -44,8 +44,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
 def mix_plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 11, **targets) -> DataFrame:
     """All rows of docs with size, source_size, target (its source's), rate and copies.
 
-    copies is floor(rate) plus 1 if a number in [0, 1) hashed from seed, key and text is below the rate's fraction; so
-    reruns agree and no row is taken more than ceil(rate) times. A source without words has target and rate 0.
+    copies is floor(rate) plus 1 if a number in [0, 1) made of the first 52 bits of an MD5 of seed, key and text is below the
+    rate's fraction; so reruns agree and no row is taken more than ceil(rate) times. A source without words has target and rate 0.
     Null texts have size 0; null sources form a source; rows that agree in key and text decide alike; an empty table
     gives an empty result. Existing columns of these names are replaced."""
     names = ["size", "source_size", "target", "rate", "copies"]
@@ -54,7 +54,8 @@ def mix_plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
     t = materialize(source_targets(sizes, **targets), "targets").withColumnRenamed("source", "_source")
     joined = base.join(small(t), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 11) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col(text)))
+    draw = F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
 

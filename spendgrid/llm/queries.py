@@ -91,4 +91,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Languages, toxicity, tokenizers, byte suffixes, sound and Spark's own hashes are beyond SQL: op2 to op7 and op10
+#: have tests instead.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_forest": """WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.id <> q.id AND list_cosine_similarity(p.e, q.e) >= CAST(0.9 AS DOUBLE)),
+ reach(id, c) AS (SELECT id, id FROM v UNION SELECT l.b, reach.c FROM reach JOIN links l ON l.a = reach.id)
+ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = m.id) AS n_links, component_id, id = component_id AS kept FROM (SELECT id, min(c) AS component_id FROM reach GROUP BY id) m""",
+    "op8_source_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, text FROM documents),
+ s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS i FROM s),
+ x AS (SELECT *, CAST(CASE (i - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS most FROM w),
+ y AS (SELECT *, most / weight AS turn FROM x),
+ z AS (SELECT *, coalesce(sum(most) OVER (ORDER BY turn, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_, sum(weight) OVER (ORDER BY turn, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_, CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS total FROM y),
+ c AS (SELECT *, turn * left_ <= total - before_ AS cut FROM z),
+ t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN cut THEN most ELSE (total - coalesce(sum(most) FILTER (WHERE cut) OVER (), 0)) * weight / sum(weight) FILTER (WHERE NOT cut) OVER () END AS target FROM c),
+ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST(CAST('0x' || left(md5(concat_ws('|', '11', CAST(d.doc_id AS VARCHAR), d.text)), 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) AS draw FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
+    "op9_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+ n AS (SELECT id, CAST(len(s) AS BIGINT) AS n, s FROM s), e AS (SELECT id, n, unnest(s) AS g FROM n),
+ links AS (SELECT p.id AS a, q.id AS b FROM e p JOIN e q ON p.g = q.g AND p.id <> q.id GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+ reach(id, c) AS (SELECT id, id FROM n UNION SELECT l.b, reach.c FROM reach JOIN links l ON l.a = reach.id)
+ SELECT n.id AS doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) m ON m.id = n.id""",
+}
