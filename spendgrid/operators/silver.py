@@ -37,9 +37,9 @@ def contracts_of(award_contracts: DataFrame) -> DataFrame:
 
 
 def winners_of(contracts: DataFrame) -> DataFrame:
-    """(contract_id, sicap_id, fiscal_number, name), each winner once."""
+    """(contract_id, source_id, fiscal_number, name), each winner once."""
     w = contracts.select("contract_id", F.explode("winners").alias("w"))
-    return w.select("contract_id", F.col("w.entityId").alias("sicap_id"), F.col("w.fiscalNumber").alias("fiscal_number"), F.col("w.name").alias("name")).distinct()
+    return w.select("contract_id", F.col("w.entityId").alias("source_id"), F.col("w.fiscalNumber").alias("fiscal_number"), F.col("w.name").alias("name")).distinct()
 
 
 def notices_of(parsed_rows: DataFrame, endpoint: str) -> DataFrame:
@@ -87,7 +87,7 @@ def with_cpv(rows: DataFrame, raw: str, catalog: DataFrame) -> DataFrame:
 
 
 def resolve_organisations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(organisations, conflicts) of mentions (ord, namespace, sicap_id, code_raw, name, county, seen_at).
+    """(organisations, conflicts) of mentions (ord, namespace, source_id, code_raw, name, county, seen_at).
 
     An organisation is named by a key: for a source id, the valid fiscal code of the first mention that carries one and whose
     code no earlier-met id owns; else the id itself; without an id, the valid code; else a hash of what was written. Where
@@ -95,11 +95,11 @@ def resolve_organisations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     never merge. Record-at-a-time resolution may differ where an id meets its code only after other ids took it."""
     m = mentions.withColumn("code", X.fiscal_code(F.col("code_raw")))
     m = m.withColumn("valid", X.fiscal_code_valid(F.col("code")))
-    ids = m.where("sicap_id is not null").groupBy("namespace", "sicap_id").agg(F.min_by("code", F.when(F.col("valid"), F.col("ord"))).alias("owned"))
-    named = m.join(ids, ["namespace", "sicap_id"], "left")
+    ids = m.where("source_id is not null").groupBy("namespace", "source_id").agg(F.min_by("code", F.when(F.col("valid"), F.col("ord"))).alias("owned"))
+    named = m.join(ids, ["namespace", "source_id"], "left")
     key = (
         F.when(F.col("owned").isNotNull(), F.concat(F.lit("code:"), "owned"))
-        .when(F.col("sicap_id").isNotNull(), F.concat_ws(":", F.lit("id"), F.col("namespace"), F.col("sicap_id").cast("string")))
+        .when(F.col("source_id").isNotNull(), F.concat_ws(":", F.lit("id"), F.col("namespace"), F.col("source_id").cast("string")))
         .when(F.col("valid"), F.concat(F.lit("code:"), "code"))
         .otherwise(F.concat(F.lit("raw:"), F.sha2(F.concat_ws(" ", "code_raw", "name"), 256)))
     )
@@ -111,12 +111,12 @@ def resolve_organisations(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
         first("name").alias("name"),
         first("county").alias("county"),
         F.array_sort(F.collect_set("code_raw")).alias("code_variants"),
-        F.array_sort(F.collect_set("sicap_id")).alias("sicap_ids"),
+        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
         F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"),
     )
     organisations = organisations.withColumn("entity_id", F.xxhash64("entity_key"))
-    conflicts = named.where("sicap_id is not null and valid and code <> owned").select("namespace", "sicap_id", "owned", F.col("code").alias("other")).distinct()
+    conflicts = named.where("source_id is not null and valid and code <> owned").select("namespace", "source_id", "owned", F.col("code").alias("other")).distinct()
     return organisations, conflicts
 
 

@@ -224,9 +224,9 @@ def redact_hash(v: Views) -> DataFrame:
 @query("entity_resolution")
 def entity_resolution(v: Views) -> DataFrame:
     o = v.organisations
-    m = o.select((F.col("entity_id") * 2 + (F.col("role") == "supplier").cast("int")).alias("ord"), F.col("role").alias("namespace"), F.col("entity_id").alias("sicap_id"), F.concat(F.lit("RO"), (F.col("entity_id") + 100).cast("string")).alias("code_raw"), "name", "county", F.lit(None).cast("timestamp").alias("seen_at"))
+    m = o.select((F.col("entity_id") * 2 + (F.col("role") == "supplier").cast("int")).alias("ord"), F.col("role").alias("namespace"), F.col("entity_id").alias("source_id"), F.concat(F.lit("RO"), (F.col("entity_id") + 100).cast("string")).alias("code_raw"), "name", "county", F.lit(None).cast("timestamp").alias("seen_at"))
     organisations, _ = silver.resolve_organisations(m)
-    return organisations.select("entity_key", "code", "code_valid", "name", "county", F.size("sicap_ids").alias("ids"))
+    return organisations.select("entity_key", "code", "code_valid", "name", "county", F.size("source_ids").alias("ids"))
 
 
 @query("name_suggestions")

@@ -95,7 +95,7 @@ def test_payloads_to_facts(spark):
     ]
     df = spark.createDataFrame(raw, "raw_id long, endpoint_version string, payload string")
     c = silver.contracts_of(silver.parsed(df, "award-contracts:v1"))
-    assert sorted((w.contract_id, w.sicap_id) for w in silver.winners_of(c).collect()) == [(50, 1), (50, 2), (51, 3)]
+    assert sorted((w.contract_id, w.source_id) for w in silver.winners_of(c).collect()) == [(50, 1), (50, 2), (51, 3)]
     good, bad = sinks.quarantine(silver.parsed(df, "da-list:v1"), silver.natural_key("da-list:v1").isNull(), F.lit("no key"))
     assert [r.raw_id for r in bad.collect()] == [4] and bad.first().excerpt == "{broken"
     a = silver.acquisitions_of(good, "da-list:v1").first()
@@ -112,10 +112,10 @@ def test_payloads_to_facts(spark):
 
 def test_resolution(spark):
     m = [(1, "s", 10, "RO21255449", "A"), (2, "s", 10, None, "A2"), (3, "s", 11, "21255449", "A3"), (4, "s", 10, "29074847", "other"), (5, None, None, "29074847", "B"), (6, None, None, "DE811569869", "C"), (7, None, None, "DE811569869", "C"), (8, "s", 12, None, "D")]
-    df = spark.createDataFrame([(*x, None, dt.datetime(2020, 1, x[0])) for x in m], "ord long, namespace string, sicap_id long, code_raw string, name string, county string, seen_at timestamp")
+    df = spark.createDataFrame([(*x, None, dt.datetime(2020, 1, x[0])) for x in m], "ord long, namespace string, source_id long, code_raw string, name string, county string, seen_at timestamp")
     orgs, conflicts = silver.resolve_organisations(df)
     got = {r.entity_key: r for r in orgs.collect()}
-    assert len(got) == 4 and got["code:21255449"].sicap_ids == [10, 11] and got["code:21255449"].name == "A"
+    assert len(got) == 4 and got["code:21255449"].source_ids == [10, 11] and got["code:21255449"].name == "A"
     assert got["code:29074847"].name == "B" and got["id:s:12"].code is None
     assert [(r.owned, r.other) for r in conflicts.collect()] == [("21255449", "29074847")]
 
