@@ -5,10 +5,12 @@ then all others. (Sampled: the hash lies below a fixed share of its range; only
 Jaccard similarity of at least t share a token among their first n - ceil(t * n) + 1, n being their own size.
 - A set whose prefix holds only tokens that no other set has leaves the join.
 - Rare tokens (at most FREQUENT sets) of a prefix are indexed one by one.
-- A set whose prefix goes on into frequent or uncounted tokens also indexes combinations: its first (k+1)/t * (1-t) * n + k of
-  these, extended from the prefix, give k-token combinations of neighbours in the order. At most (1-t)/t * n tokens of
-  two similar sets differ, each of them breaks at most k combinations, so one combination survives in both.
-Members of an index entry are linked to its first one (verified exactly), links are joined to components, and only members
+- A set whose prefix goes on into frequent or uncounted tokens is hard. Hard sets are few; all their tokens are counted among
+  hard sets, and the steps above are repeated with these counts. What is hard even then also indexes combinations: all its
+  tokens are dealt by their hash into one class more than similar sets of about its size may differ in tokens,
+  (1-t)/(1+t) * (n + m) for sizes n and m; each class's tokens are one combination. So in two similar sets one combination is the same.
+Each entry carries how many tokens a set cannot share with those that it meets there; two sets share at most what is left.
+Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, and only members
 of one entry that lie in different components are then compared with each other: copies never expand into pairs, and
 no link between components is lost."""
 
@@ -27,10 +29,6 @@ from .common import components, discard, materialize, mix, shingle_sets, slices,
 
 #: Sets that may hold a token that is indexed alone.
 FREQUENT = 24
-#: Tokens in a combination.
-TOGETHER = 2
-_SAMPLED = "doc_id long, token long"
-_SETS = "doc_id long, n int, sampled int"
 _RANGE = 1 << 52
 
 
@@ -47,58 +45,80 @@ def _sets(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, print): the size of each text's set and a hash of it (null for empty sets)."""
+def _sizes(docs: DataFrame, width: int, share: float) -> DataFrame:
+    """(doc_id, n, sampled, print): the size of each text's set, how many of its tokens are sampled, a hash of it (null if empty)."""
+    limit = int(share * _RANGE)
 
     def make(piece, doc, token, n):
         sums = np.zeros(len(n), np.uint64)
         if len(doc):
             np.add.at(sums, doc, mix(token.astype(np.uint64)))
         whole = mix(sums + n.astype(np.uint64))
-        return piece.column(0), n.astype(np.int32), pa.array(whole.view(np.int64), mask=n == 0)
+        sampled = np.bincount(doc[token < limit], minlength=len(n))
+        return piece.column(0), n.astype(np.int32), sampled.astype(np.int32), pa.array(whole.view(np.int64), mask=n == 0)
 
-    return _sets(docs, width, make, "doc_id long, n int, print long")
+    return _sets(docs, width, make, "doc_id long, n int, sampled int, print long")
 
 
-def _sampled(docs: DataFrame, width: int, share: float) -> DataFrame:
+def _tokens(docs: DataFrame, width: int, share: float = 1.0) -> DataFrame:
+    """(doc_id, token) for all tokens below the sampled share of their range."""
     limit = int(share * _RANGE)
 
     def make(piece, doc, token, n):
         keep = token < limit
         return piece.column(0).take(pa.array(doc[keep])), token[keep]
 
-    return _sets(docs, width, make, _SAMPLED)
+    return _sets(docs, width, make, "doc_id long, token long")
 
 
-def _combinations(docs: DataFrame, width: int, share: float, t: Fraction, k: int) -> DataFrame:
-    """(doc_id, token): hashes of the k-token combinations of docs (doc_id, text, frequent: its frequent sampled tokens)."""
-    limit = int(share * _RANGE)
+def _prefixes(tokens: DataFrame, sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, singles, common) of sets (doc_id, n, counted: tokens of it that are counted) by their tokens (doc_id, token).
+
+    states: the sets that may link, with prefix, u (counted tokens that no other set has), rare (u and those of few sets); singles: the rare
+    shared tokens in their prefixes, rarest first; common: all shared tokens with the number of sets that hold them."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    common = materialize(tokens.join(counts, "token").select("doc_id", "token", "sets"), name + "-common")
+    held = common.groupBy("doc_id").agg(F.count("*").alias("known"), F.count_if(F.col("sets") <= FREQUENT).alias("few"))
+    own = F.col("counted") - F.coalesce("known", F.lit(0))
+    state = sets.join(held, "doc_id", "left").withColumns({"u": own, "rare": own + F.coalesce("few", F.lit(0))})
+    state = materialize(state.where("u < prefix").select("doc_id", "n", "prefix", "u", "rare"), name + "-states")
+    singles = common.where(F.col("sets") <= FREQUENT).join(state, "doc_id")
+    singles = singles.withColumn("place", F.expr("u + row_number() over (partition by doc_id order by sets, token)")).where("place <= prefix")
+    return state, singles.select("token", "doc_id", "n", "u"), common
+
+
+def _bands(largest: int, t: Fraction) -> np.ndarray:
+    """First sizes of bands, each reaching 1/t times as far: similar sets lie in one band or in neighbouring ones."""
+    firsts = [1]
+    while firsts[-1] <= largest:
+        firsts.append(firsts[-1] * t.denominator // t.numerator + 1)
+    return np.array(firsts + [firsts[-1] * t.denominator // t.numerator + 1], np.int64)
+
+
+def _combinations(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(token, doc_id, n, u): negative hashes of the combinations of docs (doc_id, text, u), for a set's own band and the next."""
 
     def make(piece, doc, token, n):
-        lists = piece.column(2)
-        many = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        often = lists.drop_null().flatten().to_numpy()
-        often = np.sort((np.repeat(np.arange(len(n)), many).astype(np.uint64) << np.uint64(52)) | often.astype(np.uint64))
-        packed = (doc.astype(np.uint64) << np.uint64(52)) | token.astype(np.uint64)
-        # rare are the sampled tokens that are not listed as frequent
-        other = token >= limit
-        if len(often):
-            at = np.minimum(np.searchsorted(often, packed), len(often) - 1)
-            other |= often[at] == packed
-        d, x = doc[other], token[other]
-        order = np.lexsort((mix(x.astype(np.uint64)), d))
-        d, x = d[order], x[order].astype(np.uint64)
-        first = np.searchsorted(d, np.arange(len(n)))
-        place = np.arange(len(d)) - first[d]
-        reach = (k + 1) * ((t.denominator - t.numerator) * n // t.numerator) + k
-        h = x.copy()[: max(len(x) - k + 1, 0)]
-        for j in range(1, k):
-            h = mix(h * np.uint64(31) + np.uint64(j)) + x[j : j + len(h)]
-        keep = (d[: len(h)] == d[k - 1 :]) & (place[: len(h)] + k <= reach[d[: len(h)]]) if len(h) else np.zeros(0, bool)
-        # the sign sets combinations apart from tokens
-        return piece.column(0).take(pa.array(d[: len(h)][keep])), -1 - (mix(h[keep]) >> np.uint64(1)).astype(np.int64)
-
-    return _sets(docs, width, make, _SAMPLED)
+        firsts = _bands(int(n.max(initial=1)), t)
+        own = np.searchsorted(firsts, n, "right") - 1
+        rows = []
+        for step in (0, 1):
+            band = own + step
+            most = 2 * (firsts[np.minimum(band + 1, len(firsts) - 1)] - 1)  # sizes of two sets of this band together
+            classes = (t.denominator - t.numerator) * most // (t.denominator + t.numerator) + 1
+            first = np.cumsum(classes) - classes
+            h = mix(token.astype(np.uint64))
+            sums = np.zeros(int(classes.sum()), np.uint64)
+            np.add.at(sums, first[doc] + (h % classes[doc].astype(np.uint64)).astype(np.int64), mix(h))
+            who = np.repeat(np.arange(len(n)), classes)
+            at = (np.arange(len(who)) - first[who]).astype(np.uint64)
+            keys = mix(mix(sums) + at * np.uint64(0x9E3779B97F4A7C15) + (band[who].astype(np.uint64) << np.uint64(32)))
+            rows.append((who, -1 - (keys >> np.uint64(1)).astype(np.int64)))
+        who, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+        at = pa.array(who)
+        return keys, piece.column(0).take(at), n[who].astype(np.int32), piece.column(2).take(at)
+
+    return _sets(docs, width, make, "token long, doc_id long, n int, u long")
 
 
 def _arrays(docs: DataFrame, width: int) -> DataFrame:
@@ -133,53 +153,58 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     t = Fraction(similarity).limit_denominator(10_000)
     share = min(1.0, 2.5 * float(1 - t))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = materialize(_sizes(texts, width), "sizes")
+    sizes = materialize(_sizes(texts, width, share), "sizes")
 
     # sets that agree are one vertex, named by their smallest key
-    classes = materialize(sizes.where("doc_id is not null and n > 0").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("doc_id").alias("last")), "classes")
-    member = sizes.where("doc_id is not null and n > 0").join(classes, ["print", "n"])
-    copies = materialize(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    reps = texts.join(small(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti").where("doc_id is not null")
-
-    # sampled tokens that several sets hold
-    rows = _sampled(reps, width, share)
-    counts = rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
-    common = materialize(rows.join(counts, "token").select("doc_id", "token", "sets"), "common")
-    n_sampled = _sets(reps, width, lambda piece, doc, token, n: (piece.column(0), n.astype(np.int32), np.bincount(doc[token < int(share * _RANGE)], minlength=len(n)).astype(np.int32)), _SETS)
-    held = common.groupBy("doc_id").agg(F.count("*").alias("known"), F.count_if(F.col("sets") <= FREQUENT).alias("known_rare"), F.collect_list(F.when(F.col("sets") > FREQUENT, F.col("token"))).alias("frequent"))
-    prefix = F.expr(f"n + 1 - cast((n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L as int)")
-    state = n_sampled.where("n > 0").join(held, "doc_id", "left").withColumns({"prefix": prefix, "unique": F.col("sampled") - F.coalesce("known", F.lit(0)), "rare": F.col("sampled") - F.coalesce("known", F.lit(0)) + F.coalesce("known_rare", F.lit(0))})
-    state = materialize(state.where("unique < prefix").select("doc_id", "n", "prefix", "unique", "rare", "frequent"), "prefixes")
-
-    # the index: single rare tokens, rarest first, and combinations beyond them
-    singles = common.where(F.col("sets") <= FREQUENT).join(state.select("doc_id", "n", F.col("prefix"), F.col("unique")), "doc_id")
-    singles = singles.withColumn("place", F.expr("unique + row_number() over (partition by doc_id order by sets, token)")).where("place <= prefix").select("doc_id", "token", "n")
-    hard = state.where("rare < prefix").select("doc_id", "frequent", "n")
-    asked = reps.join(small(materialize(hard, "hard"), 200_000), "doc_id").select("doc_id", "text", "frequent")
-    combined = _combinations(asked, width, share, t, TOGETHER).join(hard.select("doc_id", "n"), "doc_id")
-    index = singles.select("token", "doc_id", "n").unionByName(combined.select("token", "doc_id", "n"))
+    known = sizes.where("doc_id is not null and n > 0")
+    classes = known.groupBy("print", "n").agg(F.min("doc_id").alias("rep"))
+    copies = materialize(known.join(classes, ["print", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    gone = small(materialize(copies.select(F.col("a").alias("doc_id")).distinct(), "gone"))
+    reps = texts.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    prefix = F.expr(f"n + 1 - cast((n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L as int)").alias("prefix")
+    sets = known.join(gone, "doc_id", "left_anti").select("doc_id", "n", prefix, F.col("sampled").alias("counted"))
+
+    # all sets by their sampled tokens, then the hard ones by all their tokens
+    rows = materialize(_tokens(reps, width, share), "sampled")
+    state, singles, common = _prefixes(rows, sets, "sampled")
+    hard = materialize(state.where("rare < prefix").select("doc_id", "n", "prefix", F.col("n").alias("counted")), "hard")
+    hard_rows = materialize(_tokens(reps.join(small(hard.select("doc_id")), "doc_id", "left_semi"), width), "hard-tokens")
+    hard_state, hard_singles, hard_common = _prefixes(hard_rows, hard, "hard")
+    second = hard_singles.withColumn("token", F.col("token") + F.lit(_RANGE))
+    # sets that share a rare token met through it: those that meet only here share none of theirs
+    still = materialize(hard_state.where("rare < prefix").select("doc_id", F.col("rare").alias("u")), "still-hard")
+    combined = _combinations(reps.join(small(still), "doc_id").select("doc_id", "text", "u"), width, t)
+    index = singles.unionByName(second).unionByName(combined)
     index = materialize(index.distinct(), "index")
-
-    # every member with the first of its entry; the first by a hash, so that similar sets meet the same one
-    firsts = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("f"), F.count("*").alias("members")).where("members > 1").select("token", F.col("f.doc_id").alias("first"), F.col("f.n").alias("first_n"))
-    close = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
+    discard(rows, hard_rows)
+
+    def fits(a: str, b: str):
+        """Sizes that allow the similarity, given what each set can share at most."""
+        x, y = [(F.col("n" + s), F.col("u" + s)) for s in (a, b)]
+        both = (x[0] + y[0]) * t.numerator
+        whole = t.numerator + t.denominator
+        return (F.least(x[0], y[0]) * t.denominator >= F.greatest(x[0], y[0]) * t.numerator) & ((x[0] - x[1]) * whole >= both) & ((y[0] - y[1]) * whole >= both)
+
+    # every member with the first of its entry: the set with the fewest tokens of its own, which copies lie around
+    best = F.min(F.struct("u", F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("f")
+    firsts = index.groupBy("token").agg(best, F.count("*").alias("members")).where("members > 1").select("token", F.col("f.doc_id").alias("first"), F.col("f.n").alias("n1"), F.col("f.u").alias("u1"))
     entries = materialize(index.join(firsts, "token"), "entries")
-    stars = entries.where("doc_id != first").where(close(F.col("n"), F.col("first_n"))).select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct()
+    stars = entries.where("doc_id != first").where(fits("", "1")).select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b")).distinct()
     stars = materialize(stars, "stars")
     links = _verified(stars, texts, width, t, "stars")
     labels = components(links)
 
     # members of one entry in different components: compare each with each, once
-    named = entries.select("token", "doc_id", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    mixed = materialize(named.join(split, "token", "left_semi").select("token", "doc_id", "n", "c"), "mixed")
-    left, right = mixed.select("token", *(F.col(x).alias(x + "1") for x in ("doc_id", "n", "c"))), mixed.select("token", *(F.col(x).alias(x + "2") for x in ("doc_id", "n", "c")))
-    rest = left.join(right, "token").where("doc_id1 < doc_id2 and c1 != c2").where(close(F.col("n1"), F.col("n2"))).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
+    mixed = materialize(named.join(split, "token", "left_semi").select("token", "doc_id", "n", "u", "c"), "mixed")
+    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c")))
+    rest = side("1").join(side("2"), "token").where("doc_id1 < doc_id2 and c1 != c2").where(fits("1", "2")).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, width, t, "rest")
     labels = components(copies.unionByName(links).unionByName(more))
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, index, entries, mixed, stars, rest)
+    discard(common, hard_common, index, entries, mixed, stars, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
