@@ -217,7 +217,7 @@ def trigram_self_join(v: Views) -> DataFrame:
 
 @query("redact_hash")
 def redact_hash(v: Views) -> DataFrame:
-    payload = F.to_json(F.struct(F.col("url"), F.lit("a@b.ro").alias("contactEmail"), F.substring("html", 1, 400).alias("html")))
+    payload = F.to_json(F.struct(F.col("url"), F.lit("a@b.ro").alias("contactEmail"), F.col("html")))
     return v.table("pages").select("page_id", redact_and_hash(payload).alias("r")).select("page_id", "r.redacted", "r.content_hash")
 
 
