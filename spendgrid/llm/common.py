@@ -54,7 +54,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 # ---------------------------------------------------------------- connected components
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning stars of one task's edges: at most one edge for each vertex leaves the task."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
@@ -84,7 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each task first reduces its edges to spanning stars; then smallest labels spread with pointer jumping
     until nothing changes. Every round is written to the shared folder. Empty edges give an empty table."""
-    e = materialize(edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long"), "edges")
+    e = materialize(edges.select("a", "b").where("a != b").mapInArrow(spanning_stars, "a long, b long"), "edges")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, small
+from .common import components, discard, materialize, small, spanning_stars
 
 #: Vectors of a leaf that are compared in one piece; larger leaves are dealt into blocks of about that many.
 BLOCK = 1024
+#: The same for components, whose blocks are wider: each vector is sent once for every block of its component.
+WHOLE = 4096
 
 
 @dataclass
@@ -73,8 +75,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, trees: int, leaf: int, spill: float, sample: int, seed: int) -> DataFrame:
-    """(a, b) with a < b: vectors (id long, v array of one length) that share a leaf and have a cosine >= threshold."""
+def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """rows (keys, n, id, ...) once for each piece of work: pairs lo <= hi of the blocks into which a group of n rows is dealt."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id")
+
+
+def _near(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of lo, rows of hi, matrix of who is near whom) for a piece of work, some rows of lo at a time; no row is near itself."""
+    own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
+    x = _unit(_matrix(table.column("v").combine_chunks()))
+    left, right = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("lo", "hi"))
+    for i in range(0, len(left), 512):
+        some = left[i : i + 512]
+        rough = x[some] @ x[right].T
+        near = rough >= threshold
+        # a rough product decides clear cases; close to the threshold sums in one order for every pair do
+        a, b = np.nonzero(np.abs(rough - threshold) <= 1e-9)
+        for k in range(0, len(a), 100_000):
+            p, q = a[k : k + 100_000], b[k : k + 100_000]
+            near[p, q] = (x[some[p]] * x[right[q]]).sum(axis=1) >= threshold
+        near &= ids[some][:, None] != ids[right]
+        yield some, right, near
+
+
+def near_stars(vectors: DataFrame, threshold: float, trees: int, leaf: int, spill: float, sample: int, seed: int) -> DataFrame:
+    """(a, b): edges that join what pairs of vectors (id long, v array of one length) join that share a leaf and have a cosine
+    >= threshold; of each piece of a leaf one edge for a vertex at most, so that dense groups make no squares of rows."""
     rows = vectors.count()
     head = vectors.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("v").toArrow()
     fitted = Forest.fit(_unit(_matrix(head.column(0).combine_chunks())) if len(head) else np.zeros((0, 1)), rows, trees, leaf, spill, seed)
@@ -89,43 +118,49 @@ def near_pairs(vectors: DataFrame, threshold: float, trees: int, leaf: int, spil
 
     placed = materialize(vectors.select("id", "v").mapInArrow(place, "tree int, leaf long, id long"), "leaves")
     # leaves beyond a block are dealt into blocks, each pair of which is a piece of work of its own
-    many = materialize(placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "leaf-sizes")
-    keyed = placed.join(small(many), ["tree", "leaf"]).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = keyed.select("tree", "leaf", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id")
-    work = keyed.join(vectors.select("id", "v"), "id").select("tree", "leaf", "lo", "hi", "own", "id", "v")
-
-    def compare(table: pa.Table) -> pa.Table:
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
-        x = _unit(_matrix(table.column("v").combine_chunks()))
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(0, len(left), 512):
-            some = left[i : i + 512]
-            # a rough product chooses, sums in one order for every pair decide
-            a, b = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
-            a, b = some[a], right[b]
-            keep = (ids[a] < ids[b]) if lo == hi else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            for k in range(0, len(a), 100_000):
-                p, q = a[k : k + 100_000], b[k : k + 100_000]
-                sure = (x[p] * x[q]).sum(axis=1) >= threshold
-                out_a.append(np.minimum(ids[p], ids[q])[sure])
-                out_b.append(np.maximum(ids[p], ids[q])[sure])
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    pairs = work.groupBy("tree", "leaf", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
-    out = materialize(pairs, "pairs")
+    many = materialize(placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf-sizes")
+    work = _blocks(placed.join(small(many), ["tree", "leaf"]), ["tree", "leaf"], BLOCK).join(vectors.select("id", "v"), "id").select("tree", "leaf", "lo", "hi", "own", "id", "v")
+
+    def join(table: pa.Table) -> pa.Table:
+        ids, edges = table.column("id").to_numpy(), []
+        for some, right, near in _near(table, threshold):
+            a, b = np.nonzero(near)
+            found = pa.RecordBatch.from_arrays([pa.array(ids[some[a]]), pa.array(ids[right[b]])], names=["a", "b"])
+            edges += spanning_stars(iter([found]))
+        return pa.Table.from_batches(spanning_stars(iter(edges)), pa.schema({"a": pa.int64(), "b": pa.int64()}))
+
+    out = materialize(work.groupBy("tree", "leaf", "lo", "hi").applyInArrow(join, "a long, b long").distinct(), "stars")
     discard(placed, many)
     return out
 
 
+def links_within(vectors: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(id, far): rows that other vectors (id, v, copies) of the same component with a cosine >= threshold stand for.
+
+    Components are compared whole, however the trees have cut them; labels: (id, component). No pair becomes a row."""
+    sizes = materialize(labels.groupBy("component").agg(F.count("*").alias("n")), "component-sizes")
+    work = _blocks(labels.join(small(sizes), "component"), ["component"], WHOLE).join(vectors.select("id", "v", "copies"), "id")
+
+    def count(table: pa.Table) -> pa.Table:
+        copies, far = table.column("copies").to_numpy(), np.zeros(table.num_rows)
+        for some, right, near in _near(table, threshold):
+            near = near.astype(np.float64)
+            far[some] += near @ copies[right]
+            if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
+                far[right] += copies[some] @ near
+        return pa.table({"id": table.column("id"), "part": far.astype(np.int64)})
+
+    out = materialize(work.select("component", "lo", "hi", "own", "id", "v", "copies").groupBy("component", "lo", "hi").applyInArrow(count, "id long, part long").groupBy("id").agg(F.sum("part").alias("far")), "links")
+    discard(sizes)
+    return out
+
+
 def embedding_components(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding", trees: int = 10, leaf: int = 256, spill: float = 0.08, sample: int = 8192, seed: int = 17) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
-    Two vectors link if their cosine, in double precision, is >= threshold and they share a leaf of some tree. Equal vectors are
-    one vertex with a count, and link with each other. Vectors that are null, empty, zero or hold null or non-finite components,
+    Two vectors link if their cosine, in double precision, is >= threshold and the links of vectors that share a leaf of some
+    tree join them; within a component every pair is compared, so no split loses links of a dense group that stays connected.
+    Equal vectors are one vertex with a count, and link with each other. Vectors that are null, empty, zero or hold null or non-finite components,
     and rows with a null key, link with nothing. Vectors of different lengths never link. The trees are fitted on `sample`
     vectors of each length (the first by a hash of the key; that bound is the driver's share); all vectors are placed. kept marks the row
     whose key is its component's smallest. An empty table gives an empty result."""
@@ -136,16 +171,16 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, key: str =
     classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
     member = materialize(good.join(classes, "v").select("vec_id", "id"), "members")
     lengths = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # few: one for each length
-    pairs = None
+    stars = None
     for d in lengths:
-        found = near_pairs(classes.where(F.size("v") == d), threshold, trees, leaf, spill, sample, seed)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
+        found = near_stars(classes.where(F.size("v") == d), threshold, trees, leaf, spill, sample, seed)
+        stars = found if stars is None else stars.unionByName(found)
+    if stars is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = components(stars)
+    linked = links_within(classes, labels, threshold).withColumnRenamed("id", "a")
+    labels = labels.withColumnRenamed("id", "label_of")
     copies = classes.select("id", "copies")
-    linked = both.join(copies, both.b == copies.id).groupBy("a").agg(F.sum("copies").alias("far"))
-    labels = components(pairs).withColumnRenamed("id", "label_of")
     states = copies.join(linked, copies.id == linked.a, "left").join(labels, F.col("id") == F.col("label_of"), "left")
     states = states.select("id", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     known = member.join(states, "id").select(F.col("vec_id").alias("_vec"), "links", "component")

@@ -4,7 +4,11 @@ import hashlib
 import json
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from spendgrid import plans
+from spendgrid.llm import embedding_dedup
 
 
 def test_redact_hash_reads_whole_pages(spark, tmp_path):
@@ -20,3 +24,22 @@ def test_redact_hash_reads_whole_pages(spark, tmp_path):
 
     assert got == {i: brute(url, html) for i, url, html in rows}
     assert "[email redactat]" in got[1][0] and got[2][1] != got[3][1] and got[3][1] == got[4][1]
+
+
+def _dense(n, seed=3, dims=64):
+    """n vectors, a third of them distinct near-copies of one centre (pair cosine about 0.93), and their links by brute force."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = np.sqrt(0.93) * x[0] + np.sqrt(0.07) * x[::3]
+    x = x.astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    return x, np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, n, 1000)])
+
+
+def test_a_dense_group_keeps_all_of_its_links(spark):
+    x, want = _dense(6000)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df, leaf=32).collect()}
+    assert [got[i][0] for i in range(len(x))] == list(want)
+    assert all(got[i][1] == (0 if want[i] else i) for i in range(len(x)))
