@@ -1,5 +1,6 @@
 """Queries over all of their rows and all of each row, against brute force on small fixtures."""
 
+import datetime as dt
 import hashlib
 import json
 import re
@@ -43,3 +44,19 @@ def test_a_dense_group_keeps_all_of_its_links(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df, leaf=32).collect()}
     assert [got[i][0] for i in range(len(x))] == list(want)
     assert all(got[i][1] == (0 if want[i] else i) for i in range(len(x)))
+
+
+def test_local_day_over_both_changes_of_the_clock(spark, tmp_path):
+    # the zone goes from UTC+2 to UTC+3 at 2024-03-31 01:00 UTC and back at 2024-10-27 01:00 UTC
+    at = ["2024-03-30 21:59", "2024-03-30 22:00", "2024-03-31 20:59", "2024-03-31 21:00", "2024-07-01 20:59", "2024-07-01 21:00", "2024-10-26 20:59", "2024-10-26 21:00", "2024-10-27 21:59", "2024-10-27 22:00"]
+    day = ["2024-03-30", "2024-03-31", "2024-03-31", "2024-04-01", "2024-07-01", "2024-07-02", "2024-10-26", "2024-10-27", "2024-10-27", "2024-10-28"]
+    rows = [(i, dt.datetime.fromisoformat(t), 1, "view", 1.0, "{}") for i, t in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.day: r.n for r in plans.QUERIES["local_day"](spark, str(tmp_path)).collect()}
+    assert got == {d: day.count(d) for d in day}
+
+
+def test_orphans_are_made_on_the_side_of_the_organisations(spark):
+    plan = plans.QUERIES["join_orphans_dropped"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "% " in line]
+    assert filters and all("entity_id" in f and "authority_id" not in f for f in filters)
