@@ -16,17 +16,20 @@ from spendgrid.llm.common import materialize, small
 
 #: Documents whose language is less certain than this leave; below it hardly any of a text's n-grams belong to a language.
 LEAST_SCORE = 0.05
+#: N-grams that a text needs for that; fewer are no evidence (of cut texts with a language in sf0.1, none of 16 or more scored less).
+ENOUGH_GRAMS = 32
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without letters or of uncertain language leave.
+    """Documents in a language that the labelled ones teach; those without letters leave, and those of uncertain language
+    that are long enough to tell.
 
     Where no row has a language there is nothing to learn from, and all documents stay."""
     filters = langid.train(docs)
     if filters is None:
         return docs
     found = langid.identify(docs, filters)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & ((F.col("lang_score") >= LEAST_SCORE) | (langid.gram_count("text") < ENOUGH_GRAMS))).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, mix, slices, text_buffer
@@ -18,10 +18,26 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[BLANK] = 32
 _FOLD[48:58] = 48  # digits are alike
+_OPEN = _FOLD.copy()  # the same with ASCII punctuation as blanks
+for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
+    _OPEN[_a:_b] = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
+def _padded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a blank before and behind each, so that words at the edges and short texts have n-grams like others."""
+    n = len(off) - 1
+    out = np.full(len(buf) + 2 * n, 32, np.uint8)
+    out[np.arange(len(buf)) + np.repeat(2 * np.arange(n) + 1, np.diff(off))] = buf
+    return out, off + 2 * np.arange(n + 1)
+
+
+def gram_count(text: str) -> Column:
+    """How many n-grams a text column's texts have."""
+    return F.greatest(F.octet_length(text) + F.lit(2 - GRAM + 1), F.lit(0))
+
+
 def _grams(buf: np.ndarray) -> np.ndarray:
     """The GRAM folded bytes that start at each place, as one number."""
     x = _FOLD[buf].astype(np.uint64)
@@ -47,6 +63,7 @@ class LanguageFilters:
     log2_places: int = 17
     probes: int = 2
     bits: np.ndarray = field(default=None)
+    usual: int = 0  # the language of most labelled texts, for texts that tell nothing
 
     def places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         h = mix(grams + np.uint64(0x51ED270B))
@@ -98,7 +115,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                buf, off = text_buffer(piece.column(1))
+                buf, off = _padded(*text_buffer(piece.column(1)))
                 g = _grams(buf)
                 lo, hi = _owners(off, len(g))
                 doc = np.repeat(np.arange(len(off) - 1), hi - lo)
@@ -115,7 +132,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     found = ranked.select("lang", "gram", "rate").toPandas()
     found["most"] = found.groupby("gram")["rate"].transform("max")
     found = found[found["rate"] >= noise * found["most"]]
-    out = LanguageFilters(languages)
+    out = LanguageFilters(languages, usual=languages.index(max(languages, key=sizes.get)))
     for i, name in enumerate(languages):
         out.add(found.loc[found["lang"] == name, "gram"].to_numpy().astype(np.uint64), i)
     return out
@@ -124,7 +141,9 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
 def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text") -> DataFrame:
     """All rows of docs with lang_pred and lang_score (0 to 1).
 
-    The language that holds the most of the whole text's n-grams wins, the first by name among equals; its score is its
+    The language that holds the most of the n-grams of the whole text, with a blank on both sides, wins, the first by name
+    among equals; a text none of whose n-grams a language holds is looked at once more with its punctuation as blanks, and if that
+    tells nothing either, gets the language of most labelled texts with score 0. A score is the winner's
     part of the sum over languages, weighted by the part of the n-grams that it holds. Null texts and texts without a letter are
     `und` with score 0, and so is every text if there are no filters. Existing columns of these names are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
@@ -147,8 +166,12 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
                     known[:] = False
                     best, score = np.zeros(len(known), int), np.zeros(len(known))
                 else:
-                    counts, total = model.counts(buf, off)
-                    best = counts.argmax(axis=1)
+                    counts, total = model.counts(*_padded(buf, off))
+                    silent = np.flatnonzero(known & (counts.max(axis=1) == 0))
+                    if len(silent):  # words that punctuation hides
+                        again, ends = text_buffer(col.take(pa.array(silent)))
+                        counts[silent], total[silent] = model.counts(*_padded(_OPEN[again], ends))
+                    best = np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), model.usual)
                     top, sums = counts[np.arange(len(best)), best], counts.sum(axis=1)
                     part = np.divide(top, sums, out=np.zeros_like(top), where=sums > 0)
                     score = np.clip(part * np.sqrt(np.divide(top, total, out=np.zeros_like(top), where=total > 0)), 0, 1)

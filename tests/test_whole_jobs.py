@@ -3,13 +3,14 @@
 import datetime as dt
 import hashlib
 import json
+import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
-
 from spendgrid import plans
-from spendgrid.llm import embedding_dedup
+from spendgrid.llm import embedding_dedup, langid
 
 
 def test_redact_hash_reads_whole_pages(spark, tmp_path):
@@ -60,3 +61,16 @@ def test_orphans_are_made_on_the_side_of_the_organisations(spark):
     plan = plans.QUERIES["join_orphans_dropped"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line and "% " in line]
     assert filters and all("entity_id" in f and "authority_id" not in f for f in filters)
+
+
+def test_short_texts_stay_in_the_pipeline(spark, tmp_path):
+    r = random.Random(2)
+    words = {"de": ["der", "und", "ein", "sch", "ung"], "en": ["the", "and", "of", "ing", "tion"], "fr": ["de", "les", "que", "eau", "ment"]}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(["de", "en", "fr", "en"] * 40)]
+    short = [(500, "A.", "en"), (501, "De.", "fr"), (502, "Re.", "en"), (503, "x", None), (504, "é", "fr"), (505, "de", None), (506, "Qzx", "en")]
+    gone = [(600, "12", None), (601, "", "en"), (602, None, "fr"), (603, "zqx jvk " * 30, None)]
+    docs = spark.createDataFrame([(*x, "s", len(x[1] or "")) for x in rows + short + gone], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id: x.lang for x in corpus_pipeline.keep_known_languages(spark, docs, str(tmp_path)).collect()}
+    assert set(kept) == {i for i, *_ in rows + short} and all(kept[i] == k for i, _, k in rows + short if k) and kept[505] == "fr"
+    found = {x.doc_id: (x.lang_pred, x.lang_score) for x in langid.identify(docs, langid.train(docs.where("doc_id < 500"))).collect()}
+    assert found[501][0] == "fr" and found[501][1] > 0 and found[506] == ("en", 0.0)
