@@ -1,7 +1,10 @@
-"""Paged JSON lists ({total, items[], searchTooLong}) as a Spark data source, one task for each slice of days.
+"""Paged JSON lists ({total, items[], searchTooLong}) as a Spark data source, one task for each slice of a day.
 
-`spark.read.format("paged_list")` with options url, start, end and dateField posts {dateField: day, pageIndex, pageSize}; overflowing
-days are split by the categories given. Rows are (day, slice, page, reported, item JSON). Needs a network; the planning is pure."""
+`spark.read.format("paged_list")` with options url, start, end and dateField posts {dateField: day, pageIndex, pageSize}. The driver
+probes each day; overflowing days are split by `categories`, a JSON object of category: [codes]. Rows are (day, slice, complete, page,
+reported, item JSON). What a slice of one code holds beyond the server's limit is lost: its rows have complete = false, and one row
+without an item tells of it if the server gives none. Any other page that overflows, ends early or holds another day's items (dates
+in `itemDate`, by default dateField; earlier ones only with exact = false) fails the task. Needs a network; the planning is pure."""
 
 from __future__ import annotations
 
@@ -11,10 +14,12 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+ZONE = ZoneInfo("Europe/Bucharest")
 RETRIED = (429, 500, 502, 503, 504)
 
 
@@ -65,28 +70,53 @@ def check_page(answer: dict, day: str, day_of: Callable[[dict], str], exact: boo
     return items
 
 
-class _Day(InputPartition):
-    def __init__(self, day: str):
-        self.day = day
+def local_day(text: str) -> str:
+    """The calendar day of an ISO date or time; times with an offset are taken to the server's zone."""
+    at = datetime.fromisoformat(text)
+    return (at.astimezone(ZONE) if at.tzinfo else at).date().isoformat()
+
+
+class _Slice(InputPartition):
+    def __init__(self, day: str, chosen: dict, complete: bool):
+        self.day, self.chosen, self.complete = day, chosen, complete
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.o = options
+        self.o = {k.lower(): v for k, v in options.items()}
 
-    def partitions(self) -> list[_Day]:
-        a, b = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])
-        return [_Day((a + timedelta(i)).isoformat()) for i in range((b - a).days + 1)]
+    def _ask(self, day: str, chosen: dict, page: int, size: int) -> dict:
+        return post(self.o["url"], {self.o["datefield"]: day, **chosen, "pageIndex": page, "pageSize": size})
 
-    def read(self, part: _Day) -> Iterator[tuple]:
-        size, page = int(self.o.get("pagesize", 200)), 0
+    def partitions(self) -> list[_Slice]:
+        a, b = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])
+        codes = json.loads(self.o.get("categories", "{}"))
+        out = []
+        for i in range((b - a).days + 1):
+            day = (a + timedelta(i)).isoformat()
+            found = slices(lambda f, day=day: self._ask(day, f, 0, 1).get("searchTooLong") is True, list(codes), codes.__getitem__)
+            # without categories an overflowing day is itself the last slice
+            out += [_Slice(day, f, ok) for f, ok in found or [({}, False)]]
+        return out
+
+    def read(self, part: _Slice) -> Iterator[tuple]:
+        size, page, got = int(self.o.get("pagesize", 200)), 0, 0
+        field, exact = self.o.get("itemdate", self.o["datefield"]), self.o.get("exact", "true").lower() == "true"
+        name = ":".join(map(str, part.chosen.values())) or "day"
         while True:
-            answer = post(self.o["url"], {self.o["datefield"]: part.day, "pageIndex": page, "pageSize": size})
-            for i in answer["items"]:
-                yield part.day, page, int(answer["total"]), json.dumps(i, ensure_ascii=False)
-            page += 1
-            if page * size >= int(answer["total"]) or not answer["items"]:
-                return
+            answer = self._ask(part.day, part.chosen, page, size)
+            checked = answer if part.complete else {**answer, "searchTooLong": False, "items": answer.get("items") or []}
+            items = check_page(checked, part.day, lambda i: local_day(i[field]), exact)
+            total = int(answer.get("total") or 0)
+            for i in items:
+                yield part.day, name, part.complete, page, total, json.dumps(i, ensure_ascii=False)
+            page, got = page + 1, got + len(items)
+            if got >= total and part.complete or not items:
+                break
+        if part.complete and got < total:
+            raise ValueError(f"slice {name} of {part.day} ends after {got} of {total} items")
+        if not part.complete and not got:
+            yield part.day, name, False, 0, total, None
 
 
 class PagedList(DataSource):
@@ -95,7 +125,7 @@ class PagedList(DataSource):
         return "paged_list"
 
     def schema(self) -> str:
-        return "day string, page int, reported long, item string"
+        return "day string, slice string, complete boolean, page int, reported long, item string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

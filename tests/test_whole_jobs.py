@@ -5,12 +5,16 @@ import hashlib
 import json
 import random
 import re
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pytest
 from spendgrid import plans
 from spendgrid.llm import embedding_dedup, langid
+from spendgrid.sources import paged
 
 
 def test_redact_hash_reads_whole_pages(spark, tmp_path):
@@ -74,3 +78,39 @@ def test_short_texts_stay_in_the_pipeline(spark, tmp_path):
     assert set(kept) == {i for i, *_ in rows + short} and all(kept[i] == k for i, _, k in rows + short if k) and kept[505] == "fr"
     found = {x.doc_id: (x.lang_pred, x.lang_score) for x in langid.identify(docs, langid.train(docs.where("doc_id < 500"))).collect()}
     assert found[501][0] == "fr" and found[501][1] > 0 and found[506] == ("en", 0.0)
+
+
+class _Lists(BaseHTTPRequestHandler):
+    """At most 4 items a search. Day 1 has few items; day 2 overflows, as do its category b and the code b2; day 3 gives another day's."""
+
+    items = [("2020-01-01", "a", "a1", i) for i in range(3)] + [("2020-01-02", "a", "a1", i) for i in range(10, 14)] + [("2020-01-02", "b", "b1", i) for i in range(20, 23)] + [("2020-01-02", "b", "b2", i) for i in range(30, 36)] + [("2020-01-03", "a", "a1", 40)]
+
+    def do_POST(self):  # noqa: N802
+        ask = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        hit = [x for x in self.items if x[0] == ask["at"] and ask.get("cpvCategoryId", x[1]) == x[1] and ask.get("cpvCodeId", x[2]) == x[2]]
+        first = ask["pageIndex"] * ask["pageSize"]
+        shown = [{"id": i, "at": "2020-01-09" if d == "2020-01-03" else d} for d, _, _, i in hit[:4][first : first + ask["pageSize"]]]
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"total": len(hit), "items": shown, "searchTooLong": len(hit) > 4}).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_paged_lists_split_overflowing_days_and_mark_what_is_lost(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Lists)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(paged.PagedList)
+    read = lambda a, b, **o: spark.read.format("paged_list").options(url=f"http://127.0.0.1:{server.server_port}", start=a, end=b, dateField="at", pageSize="2", **o).load()
+    try:
+        df = read("2020-01-01", "2020-01-02", categories='{"a": ["a1"], "b": ["b1", "b2"]}')
+        got = sorted((r.day, r.slice, r.complete, json.loads(r.item)["id"]) for r in df.collect())
+        assert df.rdd.getNumPartitions() == 4
+        want = [("2020-01-01", "day", True, i) for i in range(3)] + [("2020-01-02", "a", True, i) for i in range(10, 14)] + [("2020-01-02", "b:b1", True, i) for i in range(20, 23)] + [("2020-01-02", "b:b2", False, i) for i in range(30, 34)]
+        assert got == want
+        assert {r.complete for r in read("2020-01-02", "2020-01-02").collect()} == {False}
+        with pytest.raises(Exception, match="holds an item of 2020-01-09"):
+            read("2020-01-03", "2020-01-03").collect()
+    finally:
+        server.shutdown()
