@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -13,52 +13,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small
+from .common import materialize, slices
 from .tokenize import encoder, with_end
 
 
 def plan_slots(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Best-fit decreasing over counts of lengths below capacity; rows (length, first rank, n, first sequence, offset).
+    """Best-fit decreasing over counts of lengths of at most capacity; rows (length, first rank, n, first sequence, offset, stack).
 
-    The n pieces of that length from the first rank on go to n sequences from the first one on, all at this offset.
-    Open sequences are kept as runs by the room left in them. A step uses up a run or a length, so the work and the
+    The n pieces of that length from the first rank on go, stack by stack, to the sequences from the first one on, from this offset on.
+    Open sequences are kept as runs by the room left in them: the fullest one that a piece fits takes as many as its room holds before
+    the next one is looked at, as pieces one by one would. A step uses up a run or a length, so the work and the
     plan depend on the capacity and not on how many pieces there are."""
     runs: dict[int, list[tuple[int, int]]] = {}  # room -> (first sequence, n) of runs
-    rooms: list[int] = []
+    rooms: list[int] = []  # ascending
     rows, opened = [], 0
+
+    def keep(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in runs:
+                runs[room] = []
+                bisect.insort(rooms, room)
+            runs[room].append((first, n))
+
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
-        fits = sorted(r for r in rooms if r >= length)
-        rooms = [r for r in rooms if r < length]
-        heapq.heapify(fits)
-        made: set[int] = set()
         while left:
-            if fits:
-                room = fits[0]
+            at = bisect.bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
                 first, n = runs[room].pop()
-                take = min(n, left)
-                if take < n:
-                    runs[room].append((first + take, n - take))
                 if not runs[room]:
                     del runs[room]
-                    heapq.heappop(fits)
+                    rooms.pop(at)
             else:
-                room, first, take = capacity, opened, -(-left // (capacity // length))
-                opened += take
-            rows.append((length, rank, take, first, capacity - room))
-            rank, left = rank + take, left - take
-            if room > length:
-                rest = room - length
-                if rest not in runs:
-                    runs[rest] = []
-                    if rest >= length:
-                        heapq.heappush(fits, rest)
-                    else:
-                        made.add(rest)
-                runs[rest].append((first, take))
-        rooms += [*fits, *made]
-        rooms = list(set(rooms))
-    return np.array(rows, np.int64).reshape(-1, 5)
+                room, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            stack = room // length
+            full, more = min(n, left // stack), 0
+            if full < n:
+                more = left - full * stack  # a last sequence takes what is left
+            for begin, many, each in ((first, full, stack), (first + full, 1, more)):
+                if many * each:
+                    rows.append((length, rank, many * each, begin, capacity - room, each))
+                    rank += many * each
+                    keep(room - each * length, begin, many)
+            left -= full * stack + more
+            used = full + (more > 0)
+            keep(room, first + used, n - used)
+    return np.array(rows, np.int64).reshape(-1, 6)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keeps_space: bool, text: str, key: str, with_ids: bool) -> DataFrame:
@@ -111,8 +113,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     order = np.argsort(starts)
     shared = docs.sparkSession.sparkContext.broadcast((starts[order], plan[order]))  # its size follows from the capacity
 
+    # tasks times lengths rows: broadcast only if Spark finds them small
     before = groups.select("task", "length", F.expr("coalesce(sum(n) over (partition by length order by task rows between unbounded preceding and 1 preceding), 0)").alias("before"))
-    placed = table.join(small(materialize(before, "ranks")), ["task", "length"])
+    placed = table.join(materialize(before, "ranks"), ["task", "length"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -122,7 +125,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
             return pd.DataFrame({"sequence_id": rank, "offset": np.zeros_like(rank)})
         row = rows[np.maximum(np.searchsorted(key, (length << 48) | rank, "right") - 1, 0)]
         whole = length == capacity
-        return pd.DataFrame({"sequence_id": np.where(whole, rank, full + row[:, 3] + rank - row[:, 1]), "offset": np.where(whole, 0, row[:, 4])})
+        among, level = np.divmod(rank - row[:, 1], row[:, 5])
+        return pd.DataFrame({"sequence_id": np.where(whole, rank, full + row[:, 3] + among), "offset": np.where(whole, 0, row[:, 4] + level * length)})
 
     named = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", *["ids"] * with_ids]
     return placed.select(*named, slot("length", F.col("rank") + F.col("before")).alias("s")).select("*", "s.sequence_id", "s.offset").drop("s")
