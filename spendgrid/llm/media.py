@@ -76,15 +76,31 @@ def expand(payload: np.ndarray, codec: str, block: int = 64) -> np.ndarray:
     return {"mulaw": MULAW, "alaw": ALAW}[codec][payload]
 
 
-def resample(pcm: np.ndarray, up: int = 2) -> np.ndarray:
-    """PCM at `up` times its rate, by linear interpolation rounded toward minus infinity; the last sample is held."""
-    x = np.r_[pcm, pcm[-1:]].astype(np.int32)
+def resample(pcm: np.ndarray, up: int = 2, size: np.ndarray | None = None) -> np.ndarray:
+    """PCM at `up` times its rate, by linear interpolation rounded toward minus infinity; the last sample is held.
+
+    size: how many samples each of several files has that lie one after another."""
+    x = pcm.astype(np.int32)
+    after = np.r_[x[1:], x[-1:]]
+    if size is not None:
+        last = np.cumsum(size)[size > 0] - 1
+        after[last] = x[last]
     out = np.empty((len(pcm), up), np.int16)
     for k in range(up):
-        out[:, k] = (x[:-1] * (up - k) + x[1:] * k) // up
+        out[:, k] = (x * (up - k) + after * k) // up
     return out.ravel()
 
 
+def measure(pcm: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Peak, sum of absolute samples and zero crossings of files (none empty) of these many samples one after another."""
+    begin = np.cumsum(size) - size
+    loud = np.abs(pcm.astype(np.int32))
+    turns = np.zeros(len(pcm), np.int64)
+    turns[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
+    turns[begin] = 0
+    return np.maximum.reduceat(loud, begin), np.add.reduceat(loud.astype(np.int64), begin), np.add.reduceat(turns, begin)
+
+
 def wav(payload: bytes, codec: str, rate: int = 8000, block: int = 64) -> bytes:
     """A RIFF file around coded bytes: format 7 (mu-law), 6 (A-law) or 0x11 (IMA ADPCM)."""
     kind = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}[codec]
@@ -115,7 +131,8 @@ def read_wav(raw: bytes) -> tuple[str, int, memoryview]:
 
 def store_audio(docs: DataFrame, codec: str = "mulaw", text: str = "text", key: str = "doc_id", unit: int = 64) -> DataFrame:
     """A table (doc_id, n_bytes, media): whole texts as UTF-8, zero-padded to a positive multiple of `unit`, as the
-    coded samples of a WAV file. Null texts count as empty (one unit of zeros); other columns are not read."""
+    coded samples of a WAV file. Null texts count as empty (one unit of zeros); null keys and repeated rows are stored like others;
+    a text is held whole by its task (WAV files end at 4 GB); an empty table gives an empty one; other columns are not read."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,19 +144,21 @@ def store_audio(docs: DataFrame, codec: str = "mulaw", text: str = "text", key:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(out, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialize(chosen.mapInArrow(write, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
+    return materialize(chosen.mapInArrow(write, "doc_id long, n_bytes long, media binary"), "media", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"})
 
 
 def decode_audio(media: DataFrame, up: int = 2, column: str = "media") -> DataFrame:
-    """All columns of media with pcm (binary, little-endian 16-bit at `up` times the rate) and pcm_rate; null media gives nulls."""
+    """All columns of media with pcm (binary, little-endian 16-bit at `up` times the rate) and pcm_rate; null media gives nulls.
+
+    Each file is expanded by its own codec. An empty table gives an empty result; existing columns of these names are replaced."""
     out = media.drop("pcm", "pcm_rate")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), "pcm binary", "pcm_rate int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), "pcm binary, pcm_rate int"])
     at, columns = out.columns.index(column), [*out.columns, "pcm", "pcm_rate"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part, pcm, rates = batch.slice(i, 64), [], []
+            for part in slices(batch, column, 1 << 20, 64):
+                pcm, rates = [], []
                 for x in part.column(at):
                     if not x.is_valid:
                         pcm.append(None), rates.append(None)
@@ -152,51 +171,62 @@ def decode_audio(media: DataFrame, up: int = 2, column: str = "media") -> DataFr
     return out.mapInArrow(read, schema)
 
 
-def audio_features(media: DataFrame, up: int = 2, unit: int = 64) -> DataFrame:
-    """Of each stored file, read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last `unit` bytes),
-    media_bytes, media_sha256 and feature.
+#: What store_sound() keeps of a file besides its sound.
+_DIGESTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codec": pa.string(), "heard": pa.string()}
+_KINDS = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
-    feature gives, for the payload heard as mu-law, A-law and IMA ADPCM blocks of `unit` bytes, the peak, the sum of
-    absolute samples and the zero crossings of the PCM resampled to `up` times the rate: whole numbers only, so
-    equal payloads agree exactly."""
-    named = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-
-    def measure(pcm: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Peak, absolute sum and zero crossings of resampled PCM, for files of these many samples one after another."""
-        stop = np.cumsum(size)
-        x = pcm.astype(np.int32)
-        after = np.r_[x[1:], x[-1:]]
-        after[stop - 1] = x[stop - 1]
-        peak, total, crossed = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        before = None
-        negative_first = x < 0
-        for k in range(up):
-            y = (x * (up - k) + after * k) // up
-            z = np.abs(y)
-            peak = np.maximum(peak, np.maximum.reduceat(z, stop - size))
-            total += np.add.reduceat(z.astype(np.int64), stop - size)
-            negative = y < 0
-            if before is not None:
-                crossed += np.add.reduceat((negative != before).astype(np.int64), stop - size)
-            before = negative
-        last = np.r_[negative_first[1:], False]
-        last[stop - 1] = before[stop - 1]
-        crossed += np.add.reduceat((before != last).astype(np.int64), stop - size)
-        return peak, total, crossed
+
+def _line(codec: str, pcm: np.ndarray, size: np.ndarray) -> list[str]:
+    return [f"{codec}:{p},{t},{z}" for p, t, z in zip(*(m.tolist() for m in measure(pcm, size)), strict=True)]
+
+
+def store_sound(media: DataFrame, up: int = 2, unit: int = 64) -> DataFrame:
+    """A table of the sound of stored files, read back: pcm (16-bit, `up` times the rate), with digests of the coded bytes and of the file.
+
+    heard holds the measures of the payload heard by the other two codecs (ADPCM in blocks of `unit` bytes), whose sound is not kept."""
+    names = {**_DIGESTS, "pcm": pa.binary()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", 1 << 20):
                 files = part.column(2).to_pylist()
-                data = [read_wav(f)[2] for f in files]
-                payload = np.frombuffer(b"".join(data), np.uint8)
-                size = np.array([len(d) for d in data], np.int64)
-                heard = [("mulaw", expand(payload, "mulaw"), size), ("alaw", expand(payload, "alaw"), size)]
-                heard.append(("adpcm", expand(payload, "adpcm", unit), size // unit * (2 * (unit - 4) + 1)))
-                lines = [[f"{c}:{p},{t},{z}" for p, t, z in zip(*(m.tolist() for m in measure(pcm, n)), strict=True)] for c, pcm, n in heard]
+                opened = [read_wav(f) for f in files]
+                data, codecs = [d for _, _, d in opened], [c for c, _, _ in opened]
+                payload, size = np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], np.int64)
+                lines, sound = {}, {}
+                for codec in ("mulaw", "alaw", "adpcm"):
+                    count = size if codec != "adpcm" else size // unit * (2 * (unit - 4) + 1)
+                    pcm = resample(expand(payload, codec, unit), up, count)
+                    lines[codec] = _line(codec, pcm, count * up)
+                    if codec in codecs:
+                        sound[codec] = (pcm.astype("<i2").tobytes(), np.r_[0, np.cumsum(count)] * 2 * up)
                 out = [part.column(0), part.column(1), size, [hashlib.sha256(d).hexdigest() for d in data], [zlib.crc32(d[-unit:]) for d in data]]
-                out += [[len(f) for f in files], [hashlib.sha256(f).hexdigest() for f in files], [";".join(x) for x in zip(*lines, strict=True)]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, named.values(), strict=True)], names=list(named))
+                out += [[len(f) for f in files], [hashlib.sha256(f).hexdigest() for f in files], codecs]
+                out.append([";".join(lines[c][i] for c in lines if c != own) for i, own in enumerate(codecs)])
+                out.append([sound[c][0][sound[c][1][i] : sound[c][1][i + 1]] for i, c in enumerate(codecs)])
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, names.values(), strict=True)], names=list(names))
 
-    kinds = {pa.int64(): "long", pa.string(): "string"}
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(f"{c} {kinds[t]}" for c, t in named.items()))
+    made = media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(f"{c} {_KINDS[t]}" for c, t in names.items()))
+    # sound is written once and read often: strong compression over large pages
+    return materialize(made, "sound", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(16 << 20), "parquet.enable.dictionary": "false"})
+
+
+def audio_features(sound: DataFrame) -> DataFrame:
+    """Of each file of store_sound(), read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256 and feature.
+
+    feature gives, for the payload heard as mu-law, A-law and IMA ADPCM, the peak, the sum of absolute samples and the
+    zero crossings of the resampled PCM; those of the file's own codec are taken from the stored sound. Whole numbers only, so
+    equal payloads agree exactly."""
+    names = {c: t for c, t in _DIGESTS.items() if c not in ("codec", "heard")} | {"feature": pa.string()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "pcm", 4 << 20):
+                buf, off = text_buffer(part.column(len(_DIGESTS)))
+                own = _line("", np.frombuffer(buf.tobytes(), "<i2"), np.diff(off) // 2)
+                heard = [[*h.split(";"), c + x] for h, c, x in zip(part.column(8).to_pylist(), part.column(7).to_pylist(), own, strict=True)]
+                feature = [";".join(sorted(h, key=lambda x: ("mulaw", "alaw", "adpcm").index(x.split(":")[0]))) for h in heard]
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(feature, pa.string())], names=list(names))
+
+    return sound.select(*_DIGESTS, "pcm").mapInArrow(read, ", ".join(f"{c} {_KINDS[t]}" for c, t in names.items()))

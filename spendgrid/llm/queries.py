@@ -61,7 +61,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.audio_features(media.store_audio(_documents(spark, sf_dir)))
+    return media.audio_features(media.store_sound(media.store_audio(_documents(spark, sf_dir))))
 
 
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
