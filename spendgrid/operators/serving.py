@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import gap_minutes, minute_text
+from ..functions.text import county_key
 
 SORTS = {"date": ("finalization", False), "value": ("closing", False), "gap": ("gap_minutes", True)}
 
@@ -44,14 +47,47 @@ def ancestry(tree: DataFrame, codes: DataFrame, hops: int = 6) -> DataFrame:
     return out
 
 
-def transactions(da: DataFrame, organisations: DataFrame, flags: DataFrame) -> DataFrame:
-    """Acquisitions (da_id, …) with names, county, minute texts, gap and sorted flag codes (null if none)."""
+def transactions(da: DataFrame, organisations: DataFrame, codes: Column) -> DataFrame:
+    """Acquisitions (da_id, …) with names, county, minute texts, gap and sorted flag codes (null if none).
+
+    codes: the flags of an acquisition, which follow from its own row, so no flag is joined back."""
     side = lambda role, p: organisations.where(F.col("role") == role).select(F.col("entity_id").alias(p + "_id"), F.col("name").alias(p + "_name"), *([F.col("county")] if role == "authority" else []))
-    codes = flags.where("subject_type = 'da'").groupBy(F.col("subject_id").alias("da_id")).agg(F.array_sort(F.collect_list("flag_code")).alias("da_flags"))
-    out = da.join(side("authority", "authority"), "authority_id", "left").join(side("supplier", "supplier"), "supplier_id", "left").join(codes, "da_id", "left")
+    out = da.withColumn("da_flags", codes).join(side("authority", "authority"), "authority_id", "left").join(side("supplier", "supplier"), "supplier_id", "left")
     return out.withColumns({"gap_minutes": gap_minutes(F.col("publication"), F.col("finalization")), "publication": minute_text(F.col("publication")), "finalization": minute_text(F.col("finalization"))})
 
 
+def entity_flags(index: DataFrame, names: DataFrame, entity: str) -> DataFrame:
+    """An organisation's index in each of its roles with its name and county, most flags first; an id that is not all digits has none."""
+    own = index.where(F.col("entity_id") == digits_only(entity)).join(names, ["entity_id", "role"], "left")
+    return own.select("role", "name", "county", "cri", F.size("codes").alias("n_flags"), F.col("n").alias("n_das"), "total", "codes").orderBy(F.desc("n_flags"), F.desc("n_das"), "role")
+
+
+def coverage(totals: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(key, label, total, coverage) of map shapes (key, label) by the county totals (county, total) whose folded name is their key.
+
+    Shapes without money have 0; coverage is the percentage of all money that lands on a shape, the same in each row."""
+    folded = totals.groupBy(county_key(F.col("county")).alias("key")).agg(F.sum("total").alias("total"))
+    whole = folded.agg(F.sum("total").alias("whole"))
+    on = shapes.join(folded, "key", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    mapped = on.agg(F.sum("total").alias("mapped"))
+    share = F.when(F.col("whole") > 0, F.col("mapped") / F.col("whole") * 100).otherwise(0.0)
+    return on.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mapped)).select("key", "label", "total", share.alias("coverage"))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): how many rows each table has, one aggregate a table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def report(counts: DataFrame) -> str:
+    """A job's row counts (name, n: one row a table) as one JSON object."""
+    return json.dumps({r["name"]: r["n"] for r in counts.orderBy("name").collect()})
+
+
 def entity_transactions(table: DataFrame, entity: int, role: str, sort: str = "date", year: str | None = None, flag: str | None = None, page: int = 1, size: int = 50) -> tuple[DataFrame, DataFrame]:
     """(page, total) of an organisation's transactions; absent parameters do not filter."""
     cond: Column = F.col(f"{role}_id") == entity
@@ -82,7 +118,7 @@ def split_pairs(flags: DataFrame, entity: str, role: str, k: int = 30) -> DataFr
     """The split flags of an organisation with the numbers of their evidence."""
     own = "subject_id" if role == "authority" else "partner_id"
     get = lambda path, kind: F.nullif(F.get_json_object("evidence", path), F.lit("")).try_cast(kind)
-    return flags.where((F.col("flag_code") == "da_split") & (F.col(own) == entity)).select("subject_id", "partner_id", get("$.year", "int").alias("year"), get("$.n", "long").alias("n"), get("$.total", "double").alias("total"), get("$.ceiling", "double").alias("ceiling")).orderBy(F.desc_nulls_last("total"), "subject_id", "partner_id", "year").limit(k)
+    return flags.where((F.col("flag_code") == "da_split") & (F.col(own) == entity)).select("subject_id", "partner_id", get("$.year", "int").alias("year"), get("$.count", "long").alias("n"), get("$.total", "double").alias("total"), get("$.ceiling", "double").alias("ceiling")).orderBy(F.desc_nulls_last("total"), "subject_id", "partner_id", "year").limit(k)
 
 
 def risk_leaders(index: DataFrame, role: str, k: int = 25, least: dict[str, int] | None = None) -> DataFrame:

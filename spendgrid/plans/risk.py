@@ -71,7 +71,7 @@ _COUNTS = f"SELECT 'da_rapid' AS flag_code, count(*) AS n FROM {_RAPID} UNION AL
 
 @query("flag_counts", _COUNTS)
 def flag_counts(v: Views) -> DataFrame:
-    return flags.all_flags(_da(v), LIMITS).groupBy("flag_code").agg(F.count("*").alias("n"))
+    return flags.flag_totals(v.acquisitions, LIMITS)
 
 
 _CODES = f"""(SELECT entity_id, role, list_sort(list(DISTINCT code)) AS own FROM (SELECT authority_id AS entity_id, 'authority' AS role, 'da_concentration' AS code FROM {_CAPTURED} UNION ALL SELECT supplier_id, 'supplier', 'da_dependence' FROM {_DEPENDENT}
@@ -117,9 +117,7 @@ def flag_instances(v: Views) -> DataFrame:
 
 @query("da_transactions", f"SELECT d.da_id, d.authority_id, a.name AS authority_name, d.supplier_id, s.name AS supplier_name, a.county, strftime(publication, '%Y-%m-%d %H:%M') AS publication, strftime(finalization, '%Y-%m-%d %H:%M') AS finalization, CASE WHEN finalization >= publication THEN CAST(round({_GAP} / 60) AS BIGINT) END AS gap_minutes, f.codes AS da_flags FROM {DA} d LEFT JOIN {ORGS} a ON a.role = 'authority' AND a.entity_id = d.authority_id LEFT JOIN {ORGS} s ON s.role = 'supplier' AND s.entity_id = d.supplier_id LEFT JOIN (SELECT da_id, array_to_string(list_sort(list(c)), ',') AS codes FROM (SELECT da_id, 'da_rapid' AS c FROM {_RAPID} UNION ALL SELECT da_id, 'da_round' FROM {_ROUND}) GROUP BY 1) f ON f.da_id = d.da_id")
 def da_transactions(v: Views) -> DataFrame:
-    da = _da(v)
-    own = flags.rapid(da, LIMITS).select("flag_code", F.col("da_id").alias("subject_id")).unionByName(flags.round_value(da, LIMITS).select("flag_code", F.col("da_id").alias("subject_id"))).withColumn("subject_type", F.lit("da"))
-    t = serving.transactions(da, v.organisations, own)
+    t = serving.transactions(_da(v), v.organisations, flags.flag_codes(LIMITS))
     return t.select("da_id", "authority_id", "authority_name", "supplier_id", "supplier_name", "county", "publication", "finalization", "gap_minutes", F.array_join("da_flags", ",").alias("da_flags"))
 
 
