@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spendgrid.llm import common, embedding_dedup, jaccard_join, suffix_dedup
 
@@ -45,6 +46,44 @@ def test_repeated_windows_equal_brute_force(spark, seed):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+@pytest.mark.parametrize(("unit", "hot"), [(600, 65_536), (600, 3), (1 << 22, 3)])
+def test_repeated_windows_across_units_and_with_hot_anchors(spark, unit, hot):
+    rows = _texts(5, 80) + [(500 + i, "abab" * (20 + i) + "a" * 70) for i in range(4)] + [(600, ""), (601, None), (602, "short")]
+    got = suffix_dedup.remove_repeats(H.documents(spark, rows).repartition(3), unit=unit, hot=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == H.repeats(rows)
+
+
+def test_a_hot_passage_makes_no_large_group(spark):
+    """Of 3000 documents with one passage each, no task of the window pass sees more rows than units, as hot anchors are dealt singly."""
+    r = random.Random(11)
+    own = lambda n: " ".join(str(r.randrange(10**9)) for _ in range(n))
+    passage = "a passage that a third of all documents hold, with words enough to be longer than two windows of bytes, no less than that"
+    docs = H.documents(spark, [(i, f"{own(6)} {passage} {own(6)}") for i in range(3000)]).repartition(4)
+    counts = {}
+    for hot in (20, 65_536):
+        units = suffix_dedup.units_of(docs.withColumn("_id", F.col("doc_id")), "text", 1 << 14)
+        by = {}
+        for to, m in units.sparkSession.createDataFrame(suffix_dedup.window_messages(units, 1, 50, hot).where("to >= 0").select("to", "message").toPandas()).collect():
+            (key, _), _ = suffix_dedup._unpacked(bytes(m), 8, 4)
+            by[to] = by.get(to, 0) + len(key)
+        counts[hot] = max(by.values()) / (sum(by.values()) / len(by))
+    assert counts[20] < 2.5 < counts[65_536]
+    kept = suffix_dedup.remove_repeats(docs, unit=1 << 14, hot=20).select("doc_id", "n_removed").collect()
+    assert all(x.n_removed >= len(passage) for x in kept if x.doc_id) and next(x.n_removed for x in kept if x.doc_id == 0) == 0
+
+
+def test_groups_by_bytes_and_not_by_hash():
+    rng = np.random.default_rng(2)
+    buf = rng.integers(97, 99, 4000).astype(np.uint8)
+    at = rng.integers(0, 3900, 3000)
+    for width in (16, 24, 50):
+        rows, first = suffix_dedup.equal_groups(buf, at, width)
+        by = {}
+        for i, p in enumerate(at.tolist()):
+            by.setdefault(buf[p : p + width].tobytes(), []).append(i)
+        assert sorted(zip(rows.tolist(), first.tolist(), strict=True)) == sorted((i, g[0]) for g in by.values() if len(g) > 1 for i in g)
+
+
 def test_repeats_awkward_rows(spark):
     docs = H.awkward(spark).withColumn("kept", common.F.lit(5))
     rows = suffix_dedup.remove_repeats(docs).collect()
@@ -90,6 +129,44 @@ def test_jaccard_finds_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == H.jaccard(rows, 3, 9, 10)
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(2, 3), Fraction(11, 20)])
+def test_similar_sets_share_a_combination(t):
+    """Sets of frequent tokens only, and some with a few rare ones that they do not share."""
+    r = random.Random(12)
+    for _ in range(300):
+        m = r.randint(2, 60)
+        x = set(r.sample(range(1000), m))
+        y = set(x)
+        for _ in range(r.randint(0, int((1 - t) * m) + 1)):
+            if r.random() < 0.5 and len(y) > 1:
+                y.discard(r.choice(sorted(y)))
+            else:
+                y.add(r.randrange(1000))
+        if x == y or t.denominator * len(x & y) < t.numerator * len(x | y):
+            continue
+        rare = {k for k in x ^ y if r.random() < 0.5}  # rare tokens are not shared, or the sets would meet through them
+        order = {k: (k * 7919) % 1009 for k in x | y}
+        frequent = [sorted(z - rare, key=order.get) for z in (x, y)]
+        n = np.array([len(x), len(y)])
+        lack = n - -(-n * t.numerator // t.denominator)
+        own = np.array([len(z & rare) for z in (x, y)])
+        who, keys = jaccard_join.combine(np.array([k for f in frequent for k in f], np.int64), np.array([len(f) for f in frequent]), n, own, lack, t)
+        assert set(keys[who == 0]) & set(keys[who == 1]), (sorted(x), sorted(y))
+
+
+def test_combinations_grow_with_what_sets_may_lack():
+    n = np.array([100, 1000, 10_000])
+    tokens = np.concatenate([np.arange(k) * 977 for k in n])
+    who, _ = jaccard_join.combine(tokens, n, n, np.zeros(3, np.int64), n // 5, Fraction(4, 5))
+    assert (np.bincount(who) < 8 * (n // 5) + 60).all()
+    assert len(jaccard_join.combine(np.zeros(0, np.int64), np.zeros(1, np.int64), np.array([5]), np.array([5]), np.array([1]), Fraction(4, 5))[0]) == 0
+
+
+def test_jaccard_refuses_low_similarities(spark):
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(H.documents(spark, []), 3, Fraction(1, 2))
+
+
 def test_jaccard_awkward_rows(spark):
     docs = H.awkward(spark).withColumn("component_id", common.F.lit("clash"))
     rows = jaccard_join.jaccard_components(docs, 3, Fraction(9, 10)).collect()
