@@ -6,9 +6,11 @@ Jaccard similarity of at least t share a token among their first n - ceil(t * n)
 - A set whose prefix holds only tokens that no other set has leaves the join.
 - Rare tokens (at most FREQUENT sets) of a prefix are indexed one by one.
 - A set whose prefix goes on into frequent or uncounted tokens is hard. Hard sets are few; all their tokens are counted among
-  hard sets, and the steps above are repeated with these counts. What is hard even then also indexes combinations: all its
-  tokens are dealt by their hash into one class more than similar sets of about its size may differ in tokens,
-  (1-t)/(1+t) * (n + m) for sizes n and m; each class's tokens are one combination. So in two similar sets one combination is the same.
+  hard sets, and the steps above are repeated with these counts. The prefix of what is hard even then is extended, and
+  combinations of K = 2 of its frequent tokens are indexed: these tokens are dealt by their hash into classes, as many as
+  about half of those that similar sets may lack, and the prefix goes on until its rare tokens and, of each class, all frequent ones
+  but one make up that many plus one. So two similar sets without a common rare token share two tokens of one
+  class in their prefixes, and a set has about two combinations for each token that it may lack, however long it is.
 Each entry carries how many tokens a set cannot share with those that it meets there; two sets share at most what is left.
 Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, and only members
 of one entry that lie in different components are then compared with each other: copies never expand into pairs, and
@@ -29,6 +31,8 @@ from .common import components, discard, materialize, mix, shingle_sets, slices,
 
 #: Sets that may hold a token that is indexed alone.
 FREQUENT = 24
+#: Tokens of a combination.
+K = 2
 _RANGE = 1 << 52
 
 
@@ -46,18 +50,19 @@ def _sets(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, width: int, share: float) -> DataFrame:
-    """(doc_id, n, sampled, print): the size of each text's set, how many of its tokens are sampled, a hash of it (null if empty)."""
+    """(doc_id, n, sampled, print, second): the size of each text's set, how many of its tokens are sampled, two independent hashes of it (null if empty)."""
     limit = int(share * _RANGE)
 
     def make(piece, doc, token, n):
-        sums = np.zeros(len(n), np.uint64)
-        if len(doc):
-            np.add.at(sums, doc, mix(token.astype(np.uint64)))
-        whole = mix(sums + n.astype(np.uint64))
+        start = np.minimum(np.cumsum(n) - n, max(len(token) - 1, 0))
+        whole = []
+        for salt in (0, 0x5851F42D4C957F2D):
+            sums = np.add.reduceat(mix(token.astype(np.uint64) + np.uint64(salt)), start) if len(token) else np.zeros(len(n), np.uint64)
+            whole.append(pa.array(mix(sums + n.astype(np.uint64)).view(np.int64), mask=n == 0))
         sampled = np.bincount(doc[token < limit], minlength=len(n))
-        return piece.column(0), n.astype(np.int32), sampled.astype(np.int32), pa.array(whole.view(np.int64), mask=n == 0)
+        return piece.column(0), n.astype(np.int32), sampled.astype(np.int32), *whole
 
-    return _sets(docs, width, make, "doc_id long, n int, sampled int, print long")
+    return _sets(docs, width, make, "doc_id long, n int, sampled int, print long, second long")
 
 
 def _tokens(docs: DataFrame, width: int, share: float = 1.0) -> DataFrame:
@@ -95,30 +100,64 @@ def _bands(largest: int, t: Fraction) -> np.ndarray:
     return np.array(firsts + [firsts[-1] * t.denominator // t.numerator + 1], np.int64)
 
 
-def _combinations(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """(token, doc_id, n, u): negative hashes of the combinations of docs (doc_id, text, u), for a set's own band and the next."""
+def _class_count(first: np.ndarray, t: Fraction) -> np.ndarray:
+    """Classes of frequent tokens for sets of a band with this first size: about half of what similar sets may lack, and so few that
+    the smallest set of the band before has tokens enough."""
+    lack = first - -(-first * t.numerator // t.denominator)
+    least = -(-np.maximum(first * t.numerator // t.denominator - 1, 1) * t.numerator // t.denominator)
+    return np.maximum(np.minimum((lack + 1) // K, least - 1), 1)
+
+
+def combine(tokens: np.ndarray, sets: np.ndarray, n: np.ndarray, rare: np.ndarray, lack: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(set index, hash) of the combinations of K = 2 tokens of sets' extended prefixes, for a set's own band and the next.
+
+    tokens: the frequent ones of all sets, set after set in the global order; sets: how many each has; rare: its other tokens; lack: how
+    many of its tokens a similar set may lack. Sets whose tokens do not reach that are given combinations of all."""
+    owner = np.repeat(np.arange(len(n)), sets)
+    begin = np.cumsum(sets) - sets
+    firsts = _bands(int(n.max(initial=1)), t)
+    own = np.searchsorted(firsts, n, "right") - 1
+    h = mix(tokens.astype(np.uint64))
+    found = []
+    for step in (0, 1):
+        band = own + step
+        classes = _class_count(firsts[band], t)
+        cls = (h % classes[owner].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((np.arange(len(owner)), cls, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[order][1:] != owner[order][:-1]) | (cls[order][1:] != cls[order][:-1])
+        start = np.flatnonzero(new)
+        nth = np.empty(len(order), np.int64)  # how many of its class stand before a token
+        nth[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        # the prefix ends with the token that makes the rare ones and all but one of each class enough
+        sums = np.r_[0, np.cumsum(nth > 0)]
+        reached = rare[owner] + sums[1:] - sums[begin][owner]
+        inside = reached - (nth > 0) <= lack[owner]
+        # tokens of one class behind one another: the i-th makes a pair with each of the i before it
+        o = order[inside[order]]
+        many = nth[o]
+        a = np.repeat(np.arange(len(o)), many)
+        b = a - 1 - (np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many))
+        who = owner[o[a]]
+        keys = mix(mix(h[o[b]] * np.uint64(0x9E3779B97F4A7C15) + h[o[a]]) + (band[who].astype(np.uint64) << np.uint64(32)))
+        found.append((who, -1 - (keys >> np.uint64(1)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _combinations(common: DataFrame, still: DataFrame, t: Fraction) -> DataFrame:
+    """(token, doc_id, n, u): negative hashes of the combinations of sets still (doc_id, n, prefix, rare), whose tokens are in common (doc_id, token, sets)."""
+    frequent = common.where(F.col("sets") > FREQUENT).join(still, "doc_id").groupBy("doc_id", "n", "prefix", "rare").agg(F.transform(F.array_sort(F.collect_list(F.struct("sets", "token"))), lambda x: x["token"]).alias("tokens"))
 
-    def make(piece, doc, token, n):
-        firsts = _bands(int(n.max(initial=1)), t)
-        own = np.searchsorted(firsts, n, "right") - 1
-        rows = []
-        for step in (0, 1):
-            band = own + step
-            most = 2 * (firsts[np.minimum(band + 1, len(firsts) - 1)] - 1)  # sizes of two sets of this band together
-            classes = (t.denominator - t.numerator) * most // (t.denominator + t.numerator) + 1
-            first = np.cumsum(classes) - classes
-            h = mix(token.astype(np.uint64))
-            sums = np.zeros(int(classes.sum()), np.uint64)
-            np.add.at(sums, first[doc] + (h % classes[doc].astype(np.uint64)).astype(np.int64), mix(h))
-            who = np.repeat(np.arange(len(n)), classes)
-            at = (np.arange(len(who)) - first[who]).astype(np.uint64)
-            keys = mix(mix(sums) + at * np.uint64(0x9E3779B97F4A7C15) + (band[who].astype(np.uint64) << np.uint64(32)))
-            rows.append((who, -1 - (keys >> np.uint64(1)).astype(np.int64)))
-        who, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
-        at = pa.array(who)
-        return keys, piece.column(0).take(at), n[who].astype(np.int32), piece.column(2).take(at)
-
-    return _sets(docs, width, make, "token long, doc_id long, n int, u long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                n, prefix, rare = (part.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+                who, keys = combine(part.column(4).flatten().to_numpy(), pc.list_value_length(part.column(4)).to_numpy().astype(np.int64), n, rare, prefix - 1, t)
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at), part.column(1).take(at), pa.array(rare[who])], names=["token", "doc_id", "n", "u"])
+
+    return frequent.mapInArrow(run, "token long, doc_id long, n int, u long")
 
 
 def _arrays(docs: DataFrame, width: int) -> DataFrame:
@@ -148,17 +187,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     A set holds the distinct shingles of `width` words (runs of bytes other than space and 0x09-0x0D, A-Z folded) of the
     whole text; fewer words make one shingle. Rows link when |intersection| / |union| >= similarity, compared in whole
     numbers; component_id is the smallest key that links reach, kept marks that row. A null text or one without words has an empty
-    set, which links with nothing. Rows with a null key link with nothing and keep a null component_id; several rows with one
+    set, which links with nothing. similarity is above 1/2. Sets of equal size with two equal 64-bit hashes count as equal. Rows with a null key link with nothing and keep a null component_id; several rows with one
     key are one vertex that has the links of all of them, and kept is true for each. An empty table gives an empty result."""
     t = Fraction(similarity).limit_denominator(10_000)
+    if not Fraction(1, 2) < t <= 1:
+        raise ValueError("the similarity must be above 1/2 and at most 1")
     share = min(1.0, 2.5 * float(1 - t))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sizes = materialize(_sizes(texts, width, share), "sizes")
 
     # sets that agree are one vertex, named by their smallest key
     known = sizes.where("doc_id is not null and n > 0")
-    classes = known.groupBy("print", "n").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(known.join(classes, ["print", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    print_ = ["print", "second", "n"]
+    classes = materialize(known.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last").drop("last"), "classes")
+    # a table of its own, so that a set with very many copies is joined where its rows lie, or its join split
+    copies = materialize(known.join(small(classes), print_).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
     gone = small(materialize(copies.select(F.col("a").alias("doc_id")).distinct(), "gone"))
     reps = texts.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     prefix = F.expr(f"n + 1 - cast((n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L as int)").alias("prefix")
@@ -172,8 +215,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     hard_state, hard_singles, hard_common = _prefixes(hard_rows, hard, "hard")
     second = hard_singles.withColumn("token", F.col("token") + F.lit(_RANGE))
     # sets that share a rare token met through it: those that meet only here share none of theirs
-    still = materialize(hard_state.where("rare < prefix").select("doc_id", F.col("rare").alias("u")), "still-hard")
-    combined = _combinations(reps.join(small(still), "doc_id").select("doc_id", "text", "u"), width, t)
+    still = materialize(hard_state.where("rare < prefix").select("doc_id", "n", "prefix", "rare"), "still-hard")
+    combined = _combinations(hard_common, small(still), t)
     index = singles.unionByName(second).unionByName(combined)
     index = materialize(index.distinct(), "index")
     discard(rows, hard_rows)
@@ -206,5 +249,5 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, hard_common, index, entries, mixed, stars, rest)
+    discard(common, hard_common, classes, index, entries, mixed, stars, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
