@@ -3,17 +3,12 @@
 import datetime as dt
 import hashlib
 import json
-import random
 import re
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-import corpus_pipeline
-import numpy as np
-import pyarrow as pa
 import pytest
 from spendgrid import plans
-from spendgrid.llm import embedding_dedup, langid
 from spendgrid.sources import paged
 
 
@@ -32,25 +27,6 @@ def test_redact_hash_reads_whole_pages(spark, tmp_path):
     assert "[email redactat]" in got[1][0] and got[2][1] != got[3][1] and got[3][1] == got[4][1]
 
 
-def _dense(n, seed=3, dims=64):
-    """n vectors, a third of them distinct near-copies of one centre (pair cosine about 0.93), and their links by brute force."""
-    rng = np.random.default_rng(seed)
-    x = rng.standard_normal((n, dims))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    x[::3] = np.sqrt(0.93) * x[0] + np.sqrt(0.07) * x[::3]
-    x = x.astype(np.float32).astype(np.float64)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    return x, np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, n, 1000)])
-
-
-def test_a_dense_group_keeps_all_of_its_links(spark):
-    x, want = _dense(6000)
-    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df, leaf=32).collect()}
-    assert [got[i][0] for i in range(len(x))] == list(want)
-    assert all(got[i][1] == (0 if want[i] else i) for i in range(len(x)))
-
-
 def test_local_day_over_both_changes_of_the_clock(spark, tmp_path):
     # the zone goes from UTC+2 to UTC+3 at 2024-03-31 01:00 UTC and back at 2024-10-27 01:00 UTC
     at = ["2024-03-30 21:59", "2024-03-30 22:00", "2024-03-31 20:59", "2024-03-31 21:00", "2024-07-01 20:59", "2024-07-01 21:00", "2024-10-26 20:59", "2024-10-26 21:00", "2024-10-27 21:59", "2024-10-27 22:00"]
@@ -67,19 +43,6 @@ def test_orphans_are_made_on_the_side_of_the_organisations(spark):
     assert filters and all("entity_id" in f and "authority_id" not in f for f in filters)
 
 
-def test_short_texts_stay_in_the_pipeline(spark, tmp_path):
-    r = random.Random(2)
-    words = {"de": ["der", "und", "ein", "sch", "ung"], "en": ["the", "and", "of", "ing", "tion"], "fr": ["de", "les", "que", "eau", "ment"]}
-    rows = [(i, " ".join(r.choice(words[k]) for _ in range(40)), k) for i, k in enumerate(["de", "en", "fr", "en"] * 40)]
-    short = [(500, "A.", "en"), (501, "De.", "fr"), (502, "Re.", "en"), (503, "x", None), (504, "é", "fr"), (505, "de", None), (506, "Qzx", "en")]
-    gone = [(600, "12", None), (601, "", "en"), (602, None, "fr"), (603, "zqx jvk " * 30, None)]
-    docs = spark.createDataFrame([(*x, "s", len(x[1] or "")) for x in rows + short + gone], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {x.doc_id: x.lang for x in corpus_pipeline.keep_known_languages(spark, docs, str(tmp_path)).collect()}
-    assert set(kept) == {i for i, *_ in rows + short} and all(kept[i] == k for i, _, k in rows + short if k) and kept[505] == "fr"
-    found = {x.doc_id: (x.lang_pred, x.lang_score) for x in langid.identify(docs, langid.train(docs.where("doc_id < 500"))).collect()}
-    assert found[501][0] == "fr" and found[501][1] > 0 and found[506] == ("en", 0.0)
-
-
 class _Lists(BaseHTTPRequestHandler):
     """At most 4 items a search. Day 1 has few items; day 2 overflows, as do its category b and the code b2; day 3 gives another day's."""
 
