@@ -4,12 +4,23 @@ Null inputs give null unless a docstring says otherwise. All of them stay in the
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with Romanian and other Latin diacritics, and what they fold to.
-FOLDED_FROM = "ăâîșşțţáàäãåāąéèêëēęíìïīóòôöõōúùûüūñçćčďğńňřśšťýÿźżž"
-FOLDED_TO = "aaisstt" + "aaaaaaaeeeeeeiiiioooooouuuuunccc" + "dgnnrss" + "tyyzzz"
+
+def _folding() -> tuple[str, str]:
+    """Every letter that Unicode decomposes into one other letter and combining marks (U+0300 to U+036F), and that letter in lower case."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not "\u0300" <= x <= "\u036f")
+        if len(plain) == 1 and plain != c and c == c.lower():
+            pairs.append((c, plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLDED_FROM, FOLDED_TO = _folding()
 # Legal forms of Romanian companies, and the lead-in that is not a form.
 LEGAL_FORMS = ("srl", "sa", "sca", "snc", "scs", "pfa", "ra")
 LEAD_INS = ("sc",)
@@ -30,7 +41,8 @@ def trim_wide(c: Column) -> Column:
 
 
 def fold_text(c: Column) -> Column:
-    """Lower case without diacritics: precomposed Latin letters by table, then combining marks."""
+    """Lower case without diacritics: precomposed letters (Latin, Greek, Cyrillic) by a table made from Unicode, then combining marks. Letters that
+    Unicode does not decompose, such as đ, ł and ø, stay."""
     return F.regexp_replace(F.translate(F.lower(c), FOLDED_FROM, FOLDED_TO), r"[̀-ͯ]", "")
 
 

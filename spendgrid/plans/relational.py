@@ -261,10 +261,10 @@ def page_offset(v: Views) -> DataFrame:
     return v.contracts.select("contract_id", dbl("value")).orderBy(F.desc_nulls_last("value"), "contract_id").offset(100).limit(50)
 
 
-@query("sort_nulls_last", "SELECT contract_id, gap FROM (SELECT o_orderkey AS contract_id, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS gap FROM orders WHERE o_orderkey < 200) ORDER BY gap ASC NULLS LAST, contract_id LIMIT 190")
+@query("sort_nulls_last", "SELECT contract_id, gap FROM (SELECT o_orderkey AS contract_id, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS gap FROM orders) ORDER BY gap ASC NULLS LAST, contract_id")
 def sort_nulls_last(v: Views) -> DataFrame:
-    o = v.table("orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("contract_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("gap"))
-    return o.orderBy(F.asc_nulls_last("gap"), "contract_id").limit(190)
+    o = v.table("orders").select(F.col("o_orderkey").alias("contract_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("gap"))
+    return o.orderBy(F.asc_nulls_last("gap"), "contract_id")
 
 
 @query("sort_multi", "SELECT p_brand AS brand, p_type AS kind, count(*) AS n FROM part GROUP BY 1, 2 ORDER BY n DESC, brand, kind LIMIT 40")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import text as X
 from ..functions.payloads import redact_and_hash
 from ..operators import flags, search, serving, silver, treemap
 from ..sources import bson, catalogs
+from ..session import shared_folder
 from ..sources.views import Views
 from ..streaming import incremental
 from .registry import DA, LIMITS, ORGS, da_id, half_up_sql, query
@@ -158,9 +160,10 @@ def email_scrub(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(X.scrub_emails(F.col("text"))).alias("digest"))
 
 
-@query("fold_text", f"SELECT doc_id, md5(translate(lower(text), '{X.FOLDED_FROM}', '{X.FOLDED_TO}')) AS digest FROM documents")
+@query("fold_text", "SELECT doc_id, md5(strip_accents(lower(text)) || ' szoke urhajo reparatii scoala tieng viet') AS digest FROM documents")
 def fold_text(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.md5(X.fold_text(F.col("text"))).alias("digest"))
+    """All texts with a tail of Hungarian, Romanian and Vietnamese letters, whose folded form the SQL spells out."""
+    return v.table("documents").select("doc_id", F.md5(X.fold_text(F.concat("text", F.lit(" Szőke ŰRHAJÓ reparaţii Școala tiếng Việt")))).alias("digest"))
 
 
 @query("normalize_name", r"SELECT part_id, array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(raw), '.', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t NOT IN ('', 'sc', 'srl', 'sa', 'sca', 'snc', 'scs', 'pfa', 'ra')), ' ') AS normalized, 'srl' AS form FROM (SELECT p_partkey AS part_id, 'S.C. ' || p_name || ' nr. ' || p_size || ', S.R.L.' AS raw FROM part)")
@@ -169,7 +172,8 @@ def normalize_name(v: Views) -> DataFrame:
     return raw.select("part_id", X.normalized_name(F.col("raw")).alias("normalized"), X.legal_form(F.col("raw")).alias("form"))
 
 
-_WEIGHTED = " + ".join(f"{w} * CAST(substr(d, {i + 1}, 1) AS INT)" for i, w in enumerate(X.CHECK_WEIGHTS))
+_DIGIT = [f"CAST(substr(d, {i}, 1) AS INT)" for i in range(1, 10)]
+_WEIGHTED = f"7 * {_DIGIT[0]} + 5 * {_DIGIT[1]} + 3 * {_DIGIT[2]} + 2 * {_DIGIT[3]} + 1 * {_DIGIT[4]} + 7 * {_DIGIT[5]} + 5 * {_DIGIT[6]} + 3 * {_DIGIT[7]} + 2 * {_DIGIT[8]}"
 
 
 @query("checksum_mod11", f"SELECT code, (({_WEIGHTED}) * 10 % 11 % 10) = CAST(substr(d, 10, 1) AS INT) AS valid FROM (SELECT CAST(o_orderkey + 10 AS VARCHAR) AS code, lpad(CAST(o_orderkey + 10 AS VARCHAR), 10, '0') AS d FROM orders)")
@@ -178,16 +182,25 @@ def checksum_mod11(v: Views) -> DataFrame:
     return v.table("orders").select(code.alias("code"), X.fiscal_code_valid(X.fiscal_code(code)).alias("valid"))
 
 
-@query("parse_entity", "SELECT c_custkey AS entity_id, 'RO' || (c_custkey + 100) AS code, c_name AS name, CAST(c_custkey + 100 AS VARCHAR) AS canonical FROM customer")
+@query("parse_entity", r"SELECT c_custkey AS entity_id, CASE c_custkey % 5 WHEN 0 THEN 'RO' || (c_custkey + 100) WHEN 1 THEN CAST(c_custkey + 100 AS VARCHAR) WHEN 2 THEN 'R' || (c_custkey + 100) WHEN 4 THEN CAST(c_custkey + 100 AS VARCHAR) END AS code, CASE c_custkey % 5 WHEN 3 THEN 'Comuna ' || c_name WHEN 4 THEN 'Școala' ELSE c_name END AS name, CASE WHEN c_custkey % 5 <> 3 THEN CAST(c_custkey + 100 AS VARCHAR) ELSE '' END AS canonical FROM customer")
 def parse_entity(v: Views) -> DataFrame:
-    raw = v.table("customer").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit(" RO "), (F.col("c_custkey") + 100).cast("string"), F.lit(" - "), "c_name").alias("raw"))
+    """Organisation strings of five shapes: with RO and a dash, a bare code, R and spaces, no code, a code glued to a name."""
+    k, code = F.col("c_custkey") % 5, (F.col("c_custkey") + 100).cast("string")
+    shape = F.when(k == 0, F.concat(F.lit(" RO"), code, F.lit(" - "), "c_name")).when(k == 1, F.concat(code, F.lit(" "), "c_name", F.lit(" "))).when(k == 2, F.concat(F.lit("R  "), code, F.lit("   "), "c_name")).when(k == 3, F.concat(F.lit("Comuna "), "c_name")).otherwise(F.concat(code, F.lit("Școala")))
+    raw = v.table("customer").select(F.col("c_custkey").alias("entity_id"), shape.alias("raw"))
     return raw.select("entity_id", X.entity_code(F.col("raw")).alias("code"), X.entity_name(F.col("raw")).alias("name"), X.fiscal_code(X.entity_code(F.col("raw"))).alias("canonical"))
 
 
-@query("local_day", "SELECT strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-03-31 00:00:00' GROUP BY 1")
+# the hours by which the zone is ahead of UTC in 2024, written out
+_AHEAD = "CASE WHEN {0} >= TIMESTAMP '2024-03-31 01:00:00' AND {0} < TIMESTAMP '2024-10-27 01:00:00' THEN 3 ELSE 2 END"
+_LOCAL = "strftime({0} + to_hours(" + _AHEAD + "), '%Y-%m-%d')"
+
+
+@query("local_day", f"SELECT {_LOCAL.format('t')} AS day, count(*) AS n FROM (SELECT ts + to_days(CAST(70 * k AS INT)) AS t FROM events, range(5) r(k)) GROUP BY 1")
 def local_day(v: Views) -> DataFrame:
-    # in winter the zone is two hours ahead of UTC, as the SQL has it, which ends before summer time; here the zone itself tells
-    return v.notices.groupBy(D.local_day(F.col("state_date")).cast("string").alias("day")).agg(F.count("*").alias("n"))
+    """Local days of all events and of the same events 70, 140, 210 and 280 days later, so that summer time and both changes are met."""
+    later = v.notices.select(F.explode(F.array(*(F.col("state_date") + F.expr(f"interval {70 * k} days") for k in range(5)))).alias("t"))
+    return later.groupBy(D.local_day(F.col("t")).cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("gap_minutes", f"SELECT da_id, CASE WHEN finalization >= publication THEN CAST(round({_GAP} / 60) AS BIGINT) END AS gap FROM {DA}")
@@ -195,11 +208,54 @@ def gap_minutes(v: Views) -> DataFrame:
     return _da(v).select("da_id", D.gap_minutes(F.col("publication"), F.col("finalization")).alias("gap"))
 
 
-@query("display_formats", "SELECT c_custkey AS entity_id, c_name AS name, 'https://example.org/p?id=' || c_custkey AS link, 'da:' || c_custkey AS external FROM customer")
+@query("display_formats", "SELECT c_custkey AS entity_id, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_name WHEN 2 THEN 'RO' || (c_custkey + 100) ELSE '(fără nume)' END AS name, 'https://example.org/p?id=' || c_custkey || '&q=a+%26+b' AS link, 'da:' || c_custkey AS external FROM customer")
 def display_formats(v: Views) -> DataFrame:
-    c = v.table("customer")
-    named = F.concat(F.lit("RO"), (F.col("c_custkey") + 100).cast("string"), F.lit(" "), "c_name")
-    return c.select(F.col("c_custkey").alias("entity_id"), X.display_name(named).alias("name"), X.query_url("https://example.org/p", id=F.col("c_custkey")).alias("link"), X.external_id("da", F.col("c_custkey")).alias("external"))
+    """Names behind a code, without one, a code alone, and blank ones; links with a parameter that needs encoding."""
+    c, k = v.table("customer"), F.col("c_custkey") % 4
+    code = F.concat(F.lit("RO"), (F.col("c_custkey") + 100).cast("string"))
+    named = F.when(k == 0, F.concat(code, F.lit(" "), "c_name")).when(k == 1, F.concat(F.lit(" "), "c_name")).when(k == 2, code).otherwise("  ")
+    return c.select(F.col("c_custkey").alias("entity_id"), X.display_name(named).alias("name"), X.query_url("https://example.org/p", id=F.col("c_custkey"), q=F.lit("a & b")).alias("link"), X.external_id("da", F.col("c_custkey")).alias("external"))
+
+
+_LEI = lambda x, unit: f"translate(format('{{:,.1f}}', {x}), ',.', '.,') || ' {unit}. lei'"
+
+
+@query("format_amounts", f"SELECT o_orderkey AS contract_id, CASE WHEN o_orderkey % 5 = 0 THEN '—' WHEN v >= 1e9 THEN {_LEI('v / 1e9', 'mld')} WHEN v >= 1e6 THEN {_LEI('v / 1e6', 'mil')} ELSE translate(format('{{:,.0f}}', v), ',.', '.,') || ' lei' END AS amount FROM (SELECT o_orderkey, CAST(o_orderkey % 7 * 1000 + 250 AS DOUBLE) * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS v FROM orders)")
+def format_amounts(v: Views) -> DataFrame:
+    k = F.col("o_orderkey")
+    amount = (k % 7 * 1000 + 250).cast("double") * F.when(k % 3 == 0, 1).when(k % 3 == 1, 1000).otherwise(1_000_000)
+    return v.table("orders").select(k.alias("contract_id"), X.format_ron(F.when(k % 5 != 0, amount)).alias("amount"))
+
+
+@query("gap_labels", "SELECT o_orderkey AS contract_id, CASE WHEN m < 60 THEN m || ' min' WHEN m < 1440 THEN CAST(round(m / 60) AS INT) || ' h' ELSE CAST(round(m / 1440) AS INT) || ' zile' END AS label FROM (SELECT o_orderkey, o_orderkey % 5000 AS m FROM orders)")
+def gap_labels(v: Views) -> DataFrame:
+    return v.table("orders").select(F.col("o_orderkey").alias("contract_id"), X.gap_label(F.col("o_orderkey") % 5000).alias("label"))
+
+
+@query("ordinals", "SELECT part_id, CASE WHEN part_id % 3 = 0 THEN CAST(size AS VARCHAR) END AS ordinal, CASE part_id % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'bucata mare' WHEN 2 THEN '' END AS unit FROM (SELECT p_partkey AS part_id, p_size AS size FROM part)")
+def ordinals(v: Views) -> DataFrame:
+    """Ordinals of names ("nr 4") and look-up keys of units of measure."""
+    p, k = v.table("part"), F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("gradinita nr "), F.col("p_size").cast("string"), F.lit(" vale nr 99"))).when(k % 3 == 1, F.lit("banr 7")).otherwise("scoala nr")
+    unit = F.when(k % 4 == 0, " KG ").when(k % 4 == 1, F.concat(F.lit("Bucată"), F.lit("\u00a0 "), F.lit("MARE"))).when(k % 4 == 2, "  ")
+    return p.select(k.alias("part_id"), X.first_ordinal(name).alias("ordinal"), X.unit_key(unit).alias("unit"))
+
+
+@query("lenient_dates", "SELECT event_id AS notice_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M') WHEN 1 THEN strftime(ts - INTERVAL 3 HOUR, '%Y-%m-%d %H:%M') END AS at FROM events")
+def lenient_dates(v: Views) -> DataFrame:
+    """Dates as text: with Z, with an offset, and what is none."""
+    k, text = F.col("notice_id") % 3, F.date_format("state_date", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(k == 0, F.concat(text, F.lit("Z"))).when(k == 1, F.concat(text, F.lit("+03:00"))).otherwise("soon")
+    return v.notices.select("notice_id", D.minute_text(D.lenient_timestamp(raw)).alias("at"))
+
+
+@query("closed_days", "SELECT strftime(last - to_days(CAST(k AS INT)), '%Y-%m-%d') AS day, (SELECT count(*) FROM events WHERE strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d') = strftime(last - to_days(CAST(k AS INT)), '%Y-%m-%d')) AS n FROM (SELECT CAST(max(ts + INTERVAL 2 HOUR) AS DATE) - 1 AS last FROM events), range(7) r(k)")
+def closed_days(v: Views) -> DataFrame:
+    """Events of each of the last seven closed local days before the latest one."""
+    day = D.local_day(F.col("state_date"))
+    days = v.notices.agg(F.max(day).alias("today")).select(D.closed_window(F.col("today"), 7).alias("w")).select(F.explode(D.days_of(F.col("w.start"), F.col("w.end"))).alias("d"))
+    n = v.notices.groupBy(day.alias("d")).agg(F.count("*").alias("n"))
+    return days.join(n, "d", "left").select(F.col("d").cast("string").alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- silver, search, dumps, streams
@@ -213,24 +269,21 @@ def trigram_self_join(v: Views) -> DataFrame:
     return silver.trigram_pairs(names)
 
 
-@query("redact_hash")
+@query("redact_hash", r"""SELECT page_id, redacted, sha256(redacted) AS content_hash FROM (SELECT page_id, CAST(json_object('html', scrubbed, 'url', url) AS VARCHAR) AS redacted FROM (SELECT page_id, url, regexp_replace(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email redactat]', 'g') AS scrubbed FROM pages))""")
 def redact_hash(v: Views) -> DataFrame:
     payload = F.to_json(F.struct(F.col("url"), F.lit("a@b.ro").alias("contactEmail"), F.col("html")))
     return v.table("pages").select("page_id", redact_and_hash(payload).alias("r")).select("page_id", "r.redacted", "r.content_hash")
 
 
-@query("entity_resolution")
-def entity_resolution(v: Views) -> DataFrame:
-    o = v.organisations
-    m = o.select((F.col("entity_id") * 2 + (F.col("role") == "supplier").cast("int")).alias("ord"), F.col("role").alias("namespace"), F.col("entity_id").alias("source_id"), F.concat(F.lit("RO"), (F.col("entity_id") + 100).cast("string")).alias("code_raw"), "name", "county", F.lit(None).cast("timestamp").alias("seen_at"))
-    organisations, _ = silver.resolve_organisations(m)
-    return organisations.select("entity_key", "code", "code_valid", "name", "county", F.size("source_ids").alias("ids"))
+_NORMAL = "array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(name), '.', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t NOT IN ('', 'sc', 'srl', 'sa', 'sca', 'snc', 'scs', 'pfa', 'ra')), ' ')"
+_TRI_OF = "list_distinct(flatten(list_transform(string_split(x, ' '), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_NAMED = f"(SELECT name, ok, {_TRI_OF} AS t FROM (SELECT name, ok, {_NORMAL} AS x FROM (SELECT p_name AS name, max(p_size) > 40 AS ok FROM part GROUP BY 1)))"
 
 
-@query("name_suggestions")
+@query("name_suggestions", f"SELECT *, CASE WHEN similarity >= CAST(0.85 AS DOUBLE) THEN 'strong' ELSE 'weak' END AS band FROM (SELECT a.name AS a, b.name AS b, len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE) AS similarity FROM {_NAMED} a JOIN {_NAMED} b ON a.name < b.name AND NOT (a.ok AND b.ok)) WHERE similarity >= CAST(0.55 AS DOUBLE)")
 def name_suggestions(v: Views) -> DataFrame:
-    names = v.table("part").select(F.col("p_name").alias("id"), X.normalized_name(F.col("p_name")).alias("name"), F.lit(False).alias("code_valid")).distinct()
-    return silver.name_suggestions(names)
+    names = v.table("part").groupBy(F.col("p_name").alias("id")).agg((F.max("p_size") > 40).alias("code_valid"))
+    return silver.name_suggestions(names.withColumn("name", X.normalized_name(F.col("id"))))
 
 
 @query("search")
@@ -246,7 +299,7 @@ def treemap_tiles(v: Views) -> DataFrame:
     return treemap.treemap(nodes)
 
 
-@query("bson_scan")
+@query("bson_scan", "SELECT n_nationkey AS _id, n_name AS name FROM nation")
 def bson_scan(v: Views) -> DataFrame:
     """A dump of the nations written to a scratch folder and read back; the folder is the driver's, so this runs on one machine."""
     docs = [{"_id": r["n_nationkey"], "name": r["n_name"]} for r in v.table("nation").orderBy("n_nationkey").collect()]
@@ -264,10 +317,11 @@ def _arriving(v: Views) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(v: Views, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.table(name)
+def _drained(v: Views, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives until it has read all that is there, written by its tasks to the shared folder, where its checkpoint lies as well."""
+    folder = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

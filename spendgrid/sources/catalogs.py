@@ -39,12 +39,37 @@ def tables(spark: SparkSession, namespace: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(namespace))
 
 
-def tree_rows(roots: DataFrame, levels: int = 5) -> DataFrame:
-    """(code, parent_code, level, total, n_children) of nested nodes (_id, total, children as JSON text): one explode a level."""
+def tree_rows(roots: DataFrame) -> DataFrame:
+    """(code, parent_code, level, total, n_children) of nested nodes (_id, total, children as JSON text), to any depth: one explode a level,
+    until a level has no children."""
     node = "array<struct<_id: string, total: double, children: string>>"
-    step = roots.select(F.col("_id").alias("code"), F.lit(None).cast("string").alias("parent_code"), F.lit(0).alias("level"), "total", F.from_json("children", node).alias("c"))
-    out = step.select("code", "parent_code", "level", "total", F.size(F.coalesce("c", F.array().cast(node))).alias("n_children"))
-    for level in range(1, levels):
-        step = step.select(F.col("code").alias("parent_code"), F.explode("c").alias("x")).select(F.col("x._id").alias("code"), "parent_code", F.lit(level).alias("level"), F.col("x.total").alias("total"), F.from_json("x.children", node).alias("c"))
-        out = out.unionByName(step.select("code", "parent_code", "level", "total", F.size(F.coalesce("c", F.array().cast(node))).alias("n_children")))
-    return out
+    step = roots.select(F.col("_id").alias("code"), F.lit(None).cast("string").alias("parent_code"), "total", F.from_json("children", node).alias("c"))
+    out, level = None, 0
+    while True:
+        rows = step.select("code", "parent_code", F.lit(level).alias("level"), "total", F.size(F.coalesce("c", F.array().cast(node))).alias("n_children"))
+        out = rows if out is None else out.unionByName(rows)
+        if not step.where(F.size("c") > 0).limit(1).count():
+            return out
+        level += 1
+        step = step.select(F.col("code").alias("parent_code"), F.explode("c").alias("x")).select(F.col("x._id").alias("code"), "parent_code", F.col("x.total").alias("total"), F.from_json("x.children", node).alias("c"))
+
+
+def key_difference(names: list[str], keep: list[str]) -> list[str]:
+    """The names to clear: all but those to keep, in order."""
+    return sorted(set(names) - set(keep))
+
+
+def reset(spark: SparkSession, namespaces: list[str], keep: list[str]) -> list[str]:
+    """Empty every table of the namespaces but those named in keep; returns what was emptied. Tables stay, with their schemas."""
+    cleared = [f"{n}.{t}" for n in namespaces for t in key_difference(tables(spark, n), keep)]
+    for name in cleared:
+        spark.sql(f"TRUNCATE TABLE {name}")
+    return cleared
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """A small dimension after an upsert: new rows replace old ones with their key (null-safe), other old rows stay. Both have the same columns."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in old.columns if c not in key]
+    best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), "_new").alias("r"))
+    return best.select(*key, *(F.col("r")[c].alias(c) for c in rest))
