@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,29 +34,39 @@ def redacted(value):
             return value
 
 
-def _whole(value):
-    """Numbers as JSON's other dialects print them: 1.0 is 1."""
+def _number(x: float) -> str:
+    """A finite number with the digits that tell it apart: whole numbers without a point, exponents only beyond 21 digits or below 1e-6."""
+    if x.is_integer() and abs(x) < 1e21:
+        return str(int(x))
+    digits, _, power = repr(x).partition("e")
+    if power and -7 < int(power) < 0:
+        return format(Decimal(repr(x)), "f")
+    if not power:
+        return digits
+    return f"{digits.removesuffix('.0')}e{int(power):+d}"
+
+
+def canonical(value) -> str:
+    """JSON with keys in order (by UTF-16 units) at every depth, arrays as they are, no spaces; numbers and texts as browsers write them."""
     match value:
         case dict():
-            return {k: _whole(v) for k, v in value.items()}
+            inner = (f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass")))
+            return "{" + ",".join(inner) + "}"
         case list():
-            return [_whole(v) for v in value]
-        case float() if value.is_integer() and abs(value) < 1e21:
-            return int(value)
+            return "[" + ",".join(map(canonical, value)) + "]"
+        case float():
+            return _number(value) if math.isfinite(value) else "null"
+        case int() if not isinstance(value, bool) and abs(value) >= 2**53:
+            return _number(float(value))
         case _:
-            return value
-
-
-def canonical(value) -> str:
-    """JSON with keys in order at every depth, arrays as they are, no spaces."""
-    return json.dumps(_whole(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            return json.dumps(value, ensure_ascii=False)
 
 
 def _redact_all(payload: pd.Series) -> pd.DataFrame:
     def one(text: str | None):
         try:
             form = canonical(redacted(json.loads(text)))
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
             return None, None
         return form, hashlib.sha256(form.encode()).hexdigest()
 

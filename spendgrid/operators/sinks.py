@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 def new_rows(incoming: DataFrame, existing: DataFrame | None, key: Sequence[str]) -> DataFrame:
     """incoming without rows whose key is stored already, one row for each key; what an append may add."""
@@ -18,17 +21,18 @@ def new_rows(incoming: DataFrame, existing: DataFrame | None, key: Sequence[str]
 
 def append_new(incoming: DataFrame, path: str, key: Sequence[str]) -> dict[str, int]:
     """Append what is new to a Parquet table; returns the counts inserted and skipped."""
-    spark, total = incoming.sparkSession, incoming.count()
+    spark = incoming.sparkSession
     try:
         existing = spark.read.parquet(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         existing = None
-    before = existing.count() if existing is not None else 0
-    new_rows(incoming, existing, key).write.mode("append").parquet(path)
-    inserted = spark.read.parquet(path).count() - before
-    return {"inserted": inserted, "skipped": total - inserted}
+    # written once beside the table: its count is exact whoever else appends meanwhile, and costs no scan
+    fresh = stored(new_rows(incoming, existing, key), "fresh")
+    inserted = fresh.count()
+    fresh.write.mode("append").parquet(path)
+    return {"inserted": inserted, "skipped": incoming.count() - inserted}
 
 
 def latest(rows: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
@@ -55,15 +59,18 @@ def quarantine(rows: DataFrame, bad: Column, reason: Column, payload: str = "pay
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a new version of a table and point CURRENT at it last; readers see the old version or the new one."""
+    """Write a new version of a table, then append its name to the folder's list of versions. Appending adds one whole file, so readers see
+    the old version or the new one at any time, and a version that failed half-way is never listed."""
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/CURRENT")
+    listed = spark.createDataFrame([(time.time_ns(), version)], "at long, version string").coalesce(1)
+    listed.write.mode("append").parquet(f"{folder}/VERSIONS")
     return version
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/CURRENT").first()["version"]
+    """The latest published version."""
+    version = spark.read.parquet(f"{folder}/VERSIONS").agg(F.max_by("version", F.struct("at", "version")).alias("v")).first()["v"]
     return spark.read.parquet(f"{folder}/{version}")
 
 

@@ -196,8 +196,13 @@ _AHEAD = "CASE WHEN {0} >= TIMESTAMP '2024-03-31 01:00:00' AND {0} < TIMESTAMP '
 _LOCAL = "strftime({0} + to_hours(" + _AHEAD + "), '%Y-%m-%d')"
 
 
-@query("local_day", f"SELECT {_LOCAL.format('t')} AS day, count(*) AS n FROM (SELECT ts + to_days(CAST(70 * k AS INT)) AS t FROM events, range(5) r(k)) GROUP BY 1")
+@query("local_day", f"SELECT {_LOCAL.format('ts')} AS day, count(*) AS n FROM events GROUP BY 1")
 def local_day(v: Views) -> DataFrame:
+    return v.notices.groupBy(D.local_day(F.col("state_date")).cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("local_day_all_year", f"SELECT {_LOCAL.format('t')} AS day, count(*) AS n FROM (SELECT ts + to_days(CAST(70 * k AS INT)) AS t FROM events, range(5) r(k)) GROUP BY 1")
+def local_day_all_year(v: Views) -> DataFrame:
     """Local days of all events and of the same events 70, 140, 210 and 280 days later, so that summer time and both changes are met."""
     later = v.notices.select(F.explode(F.array(*(F.col("state_date") + F.expr(f"interval {70 * k} days") for k in range(5)))).alias("t"))
     return later.groupBy(D.local_day(F.col("t")).cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -23,9 +23,10 @@ ZONE = ZoneInfo("Europe/Bucharest")
 RETRIED = (429, 500, 502, 503, 504)
 
 
-def post(url: str, body: dict, tries: int = 5, base: float = 0.5, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> dict:
-    """The JSON answer to a POST; retries busy and failing servers with growing pauses (plus or minus a quarter), as asked by Retry-After."""
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+def ask(url: str, body: dict | None = None, tries: int = 5, base: float = 0.5, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> dict:
+    """The JSON answer to a POST of body, or to a GET without one; retries busy and failing servers with growing pauses (plus or minus a quarter),
+    as asked by Retry-After."""
+    request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json"})
     for i in range(tries):
         try:
             with opener(request, timeout=60) as answer:
@@ -41,6 +42,10 @@ def post(url: str, body: dict, tries: int = 5, base: float = 0.5, opener: Callab
     raise AssertionError
 
 
+def post(url: str, body: dict, **options) -> dict:
+    return ask(url, body, **options)
+
+
 def slices(overflows: Callable[[dict], bool], categories: list[str], codes: Callable[[str], list[str]]) -> list[tuple[dict, bool]]:
     """(filter, complete) requests that cover one day: the day, else its categories, else their codes. A code that still overflows is
     requested and marked incomplete: what it holds beyond the source's limit is lost."""
