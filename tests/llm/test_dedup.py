@@ -1,3 +1,4 @@
+import inspect
 import random
 from fractions import Fraction
 
@@ -204,6 +205,22 @@ def test_embedding_forest_against_brute_force(spark):
     assert np.mean([got[i].component_id == full[i] for i in full]) > 0.97
 
 
+@pytest.mark.parametrize("rows", [50_000, 10**8])
+def test_the_forest_joins_pairs_at_the_threshold_with_the_query_s_parameters(rows):
+    """Pairs with a cosine of exactly 0.9 among so many rows; a tree's depth follows from their number alone."""
+    named = {k: v.default for k, v in inspect.signature(embedding_dedup.embedding_components).parameters.items()}
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    forest = embedding_dedup.Forest.fit(unit(rng.standard_normal((named["sample"], 64))), rows, named["trees"], named["leaf"], named["spill"], named["seed"])
+    a, b = unit(rng.standard_normal((500, 64))), rng.standard_normal((500, 64))
+    b = 0.9 * a + (1 - 0.81) ** 0.5 * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    met, leaves = np.zeros(500, bool), 0
+    for (_, row, node), (_, other, there) in zip(forest.leaves(a), forest.leaves(b), strict=True):
+        leaves += len(row) / 500
+        met[np.intersect1d((row << 40) | node, (other << 40) | there) >> 40] = True
+    assert met.mean() >= 0.985 and leaves < 75
+
+
 def test_embedding_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.01]), (None, [1.0, 0.0]), (11, [1.0, 0.0])]

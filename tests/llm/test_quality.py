@@ -68,7 +68,7 @@ def _labelled(seed, n=900):
 def models(spark):
     rows = _labelled(1)
     docs, labels = H.documents(spark, [x[:2] for x in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    return [toxicity.train(docs, labels, counterfactual=c) for c in (0.0, 30.0)]
+    return [toxicity.train(docs, labels, counterfactual=c) for c in (0.0, 20.0)]
 
 
 def _scores(model, texts):
@@ -90,7 +90,47 @@ def test_swapped_terms_move_regularised_scores_little(models):
     neutral = [f"a meeting of muslims in town {i} on word{i}" for i in range(50)]
     change = [np.mean([abs(_scores(m, [t])[0] - _scores(m, [u])[0]) for t in neutral for u in toxicity.swapped(t)]) for m in models]
     false = [(_scores(m, neutral) >= 0.5).mean() for m in models]
-    assert change[1] < 0.25 * change[0] and false[1] <= false[0]
+    assert change[1] < 0.25 * change[0] and false[1] <= false[0], (change, false)
+
+
+def test_swapped_copies_are_real_texts():
+    text = "The Muslims, and a woman; muslimsx stays. Frauen und Juden."
+    got = toxicity.swapped(text)
+    assert "The christians, and a woman; muslimsx stays. Frauen und Juden." in got and "The Muslims, and a man; muslimsx stays. Frauen und Juden." in got
+    assert "The Muslims, and a woman; muslimsx stays. männer und Juden." in got and text not in got
+    assert toxicity.swapped("nobody is named here") == [] and len({w for g in toxicity.IDENTITY_GROUPS for w in g}) > 150
+
+
+def test_fit_against_a_plain_gradient():
+    """The same minimum as plain gradient descent on dense matrices with the loss as the docstring tells it."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((60, 8)) < 0.3).astype(float)
+    y = (rng.random(60) < 1 / (1 + np.exp(-(x @ rng.standard_normal(8) * 2)))).astype(float)
+    of = np.repeat(np.arange(20), 2)
+    z = x[of].copy()
+    z[:, :2] = z[:, 1::-1]
+    where = lambda m: tuple(a.astype(np.int64) for a in np.nonzero(m))
+    loss = lambda w, b: _loss(w, b, x, y, of, z, 5.0, 1e-3)
+    w, b = toxicity.fit(*where(x), y, 8, of, *where(z), counterfactual=5.0, ridge=1e-3, steps=3000)
+    best, at = loss(w, b), np.zeros(9)
+    for _ in range(4000):
+        grad = np.array([(loss(*_moved(at, i, 1e-5)) - loss(*_moved(at, i, -1e-5))) / 2e-5 for i in range(9)])
+        at -= 0.8 * grad
+    assert best <= loss(at[:8], at[8]) + 2e-3
+    free, _ = toxicity.fit(*where(x), y, 8, of, *where(z), counterfactual=0.0, ridge=1e-3, steps=3000)
+    assert abs(w[0] - w[1]) < abs(free[0] - free[1])
+
+
+def _moved(at, i, by):
+    x = at.copy()
+    x[i] += by
+    return x[:8], x[8]
+
+
+def _loss(w, b, x, y, of, z, counterfactual, ridge):
+    p, q = (1 / (1 + np.exp(-(m @ w + b))) for m in (x, z))
+    weight = np.where(y == 1, (0.5 / y.mean()) ** 0.5, 1.0)
+    return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum() + ridge * (w**2).sum() / 2 + counterfactual * ((p[of] - q) ** 2).mean()
 
 
 def test_toxicity_awkward_rows(spark):
