@@ -141,7 +141,9 @@ def test_search(spark):
     docs = search.documents(p)
     index = search.tokens(docs)
     assert {r.entity_id: r.total for r in docs.collect()}[1] == 9.0
-    assert [r.entity_id for r in search.search(docs, index, "scoala genrala").collect()] == [1, 2] or search.search(docs, index, "scoala genrala").first().entity_id == 1
+    assert search.search(docs, index, "scoala genrala").first().entity_id == 1
+    ids = lambda *a, **k: [r.entity_id for r in search.search(docs, index, *a, **k).collect()]
+    assert all(ids(q) == ids(q, typos=search.typo_keys(index)) for q in ("scoala genrala", "123", "sco", "gneerala scola"))
     assert [r.entity_id for r in search.search(docs, index, "123").collect()] == [1, 3] and search.search(docs, index, "  ").count() == 0
     assert [r.entity_id for r in search.search(docs, index, "sco", role="authority").collect()] == [1]
 
