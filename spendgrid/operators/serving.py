@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import gap_minutes, minute_text
@@ -134,10 +134,19 @@ def profile_with_rank(profile: DataFrame, tops: DataFrame) -> DataFrame:
     return profile.join(tops.select("entity_id", "role", "rank"), ["entity_id", "role"], "left")
 
 
-def quantile_bounds(values: DataFrame, column: str, classes: int = 5) -> DataFrame:
-    """One row: the nearest-rank bounds between classes of a column (an array of classes - 1 values, or fewer if values are few)."""
-    ranked = values.where(F.col(column).isNotNull()).selectExpr(f"{column} as v", f"row_number() over (order by {column}) as i", "count(*) over () as n")
-    picks = [F.min(F.when(F.col("i") == F.floor(F.lit(k) * F.col("n") / classes) + 1, F.col("v"))) for k in range(1, classes)]
+def quantile_bounds(values: DataFrame, column: str, classes: int = 5, cells: int = 256) -> DataFrame:
+    """One row: the nearest-rank bounds between classes of a column (an array of classes - 1 values, or fewer if values are few).
+
+    Exact without one sort of all values: equal values are counted first, approximate quantiles deal the distinct ones into cells of about equal
+    weight, the few cells are summed, and values are ranked within their cells only."""
+    known = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    cuts = known.agg(F.percentile_approx("v", [k / cells for k in range(1, cells)], F.lit(40 * cells))).first()[0] or []
+    cell = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col("v"))) if cuts else F.lit(0)
+    counted = known.groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", cell)
+    sums = counted.groupBy("cell").agg(F.sum("n").alias("weight"))  # at most `cells` rows
+    sums = sums.selectExpr("cell", "sum(weight) over (order by cell) - weight as before", "sum(weight) over () as total")
+    ranked = counted.join(F.broadcast(sums), "cell").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
+    picks = [F.min(F.when(F.col("upto") >= F.floor(F.lit(k) * F.col("total") / classes) + 1, F.col("v"))) for k in range(1, classes)]
     return ranked.agg(F.array_compact(F.array(*picks)).alias("bounds"))
 
 
