@@ -1,11 +1,13 @@
 """A training-corpus pipeline: language ID, near-duplicates, repeated passages, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All
-stages but the last return the columns of documents; each works on all rows that its predecessor kept. An empty table passes
-through; null texts have no language and leave in the first stage."""
+stages but the last return the columns of documents, and pass any others through untouched, whatever their names; each works on all rows that
+its predecessor kept. An empty table passes through; null texts have no language and leave in the first stage; rows with a null key
+are kept by the stages that compare documents, which they match with nothing."""
 
 from __future__ import annotations
 
+import functools
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +16,31 @@ from pyspark.sql import functions as F
 from spendgrid.llm import jaccard_join, langid, mixing, packing, suffix_dedup
 from spendgrid.llm.common import materialize, small
 
+#: The columns of documents; a stage's operators see these only.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _others_apart(stage):
+    """stage on the columns of documents, with all others of a row kept in one column meanwhile, so that no name of theirs clashes."""
+
+    @functools.wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*(c for c in docs.columns if c in COLUMNS), F.struct(*others).alias("_others")), sf_dir)
+        return out.select(*(F.col("_others")[c].alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return run_
+
+
 #: Documents whose language is less certain than this leave; below it hardly any of a text's n-grams belong to a language.
 LEAST_SCORE = 0.05
 #: N-grams that a text needs for that; fewer are no evidence (of cut texts with a language in sf0.1, none of 16 or more scored less).
 ENOUGH_GRAMS = 32
 
 
+@_others_apart
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without letters leave, and those of uncertain language
     that are long enough to tell.
@@ -32,6 +53,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where((F.col("lang_pred") != "und") & ((F.col("lang_score") >= LEAST_SCORE) | (langid.gram_count("text") < ENOUGH_GRAMS))).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@_others_apart
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join (sets of 5-word shingles, Jaccard similarity 0.8 or more) the smallest doc_id stays."""
     groups = jaccard_join.jaccard_components(docs, width=5, similarity=Fraction(4, 5))
@@ -44,6 +66,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return kept.select(*docs.columns)
 
 
+@_others_apart
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that an earlier document also has; what is left without a word leaves.
 
@@ -55,6 +78,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_others_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks (weights 3, 1, 2 in turn, 150 % of all words, at most twice a source)."""
     return mixing.mix(docs)
