@@ -145,7 +145,8 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
     among equals; a text none of whose n-grams a language holds is looked at once more with its punctuation as blanks, and if that
     tells nothing either, gets the language of most labelled texts with score 0. A score is the winner's
     part of the sum over languages, weighted by the part of the n-grams that it holds. Null texts and texts without a letter are
-    `und` with score 0, and so is every text if there are no filters. Existing columns of these names are replaced."""
+    `und` with score 0, and so is every text if there are no filters. Rows are judged each for itself, so null keys, repeated rows and an empty table
+    need nothing of their own; long texts are read whole. Existing columns of these names are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
     at, columns = docs.columns.index(text), [*docs.columns, "lang_pred", "lang_score"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double"])

@@ -101,8 +101,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     and, with_ids, the ids as little-endian unsigned 32-bit integers.
 
     A document is its text's ids and end_id; only one longer than the capacity is cut, its last piece may be shorter.
-    The driver sees one count for each length. Null texts count as empty (a piece of one token); repeated rows are
-    packed each; an empty table gives an empty result; other columns are not read."""
+    The driver sees one count for each length. Null texts count as empty (a piece of one token); rows with a null key and repeated rows are
+    packed each; a very long text is encoded whole by its task and becomes many pieces; an empty table gives an empty result; other columns are not read."""
     table = pieces(docs, tokenizer, capacity, end_id, keeps_space, text, key, with_ids)
     groups = materialize(table.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}

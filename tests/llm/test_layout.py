@@ -162,6 +162,9 @@ def test_shards_of_awkward_rows(spark):
     docs = H.awkward(spark)
     out = sharding.histogram_shards(docs).collect()
     assert len(out) == docs.count() and {r.shard for r in out} <= set(range(24))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    ties = [(r.shard, r.slot) for r in out if r.doc_id == 9]
+    assert len(set(ties)) == 2 and len({s for s, _ in ties}) == 1  # repeated rows lie together, each in its own slot
     assert sharding.histogram_shards(H.documents(spark, [])).count() == 0
 
 

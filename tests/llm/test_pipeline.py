@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import helpers as H
@@ -76,3 +77,20 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_an_empty_table_passes_through(spark, tmp_path):
     H.documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark, tmp_path):
+    clash = {"kept": "binary", "size": "string", "lang_pred": "string", "component_id": "string", "_id": "long", "copies": "double", "target": "string"}
+    docs = H.awkward(spark)
+    for name, kind in clash.items():
+        docs = docs.withColumn(name, F.col("text").cast("string").cast(kind) if kind in ("binary", "string") else F.lit(7).cast(kind))
+    docs.write.parquet(f"{tmp_path}/in")
+    at = spark.read.parquet(f"{tmp_path}/in")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+        at.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert all(r._id == 7 and r.copies == 7.0 and (r.size is not None) == (r.text is not None) for r in at.collect())
+    assert {r.doc_id for r in at.collect()} <= {None, 4, 5, 6, 9, 10}
+    assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() >= at.count()
