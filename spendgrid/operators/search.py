@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text
@@ -46,6 +46,21 @@ def typo_keys(index: DataFrame) -> DataFrame:
     return index.select("token").distinct().select("token", F.explode(_neighbours(F.col("token"), F.when(F.length("token") >= 7, 2).when(F.length("token") >= 4, 1).otherwise(0))).alias("key"))
 
 
+def write_index(profile: DataFrame, folder: str) -> None:
+    """Write the documents, tokens and typo keys of profile as tables sorted by what look-ups ask for."""
+    docs = documents(profile)
+    docs.write.mode("overwrite").parquet(f"{folder}/documents")
+    index = tokens(docs)
+    for name, table, key in (("tokens", index, "token"), ("typos", typo_keys(index), "key")):
+        table.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, limit: int = 30, role: str | None = None) -> DataFrame:
+    """search() over the tables of write_index()."""
+    docs, index, typos = (spark.read.parquet(f"{folder}/{x}") for x in ("documents", "tokens", "typos"))
+    return search(docs, index, query, limit, role, typos)
+
+
 def search(docs: DataFrame, index: DataFrame, query: str, limit: int = 30, role: str | None = None, typos: DataFrame | None = None) -> DataFrame:
     """Hits of a query: all its words (the last one as a prefix), one typo from 5 letters on, two from 9; most words first, then fewest
     typos, names before codes, then id and name. A blank query has no hits.

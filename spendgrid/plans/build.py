@@ -14,6 +14,7 @@ from ..operators import flags, importing, normalize, serving, sinks
 from ..session import shared_folder, stored
 from ..sources import catalogs
 from ..sources.views import MONEY, Views
+from ..streaming import cursors
 from .registry import DA, LIMITS, ORGS, half_up_sql, query
 from .relational import dbl
 from .risk import _CRI, _CRI_VALUE, _OWN, _da, _names
@@ -368,6 +369,38 @@ def row_counts(v: Views) -> DataFrame:
     return serving.row_counts({"acquisitions": v.acquisitions, "contracts": v.contracts, "notices": v.notices, "flags": own})
 
 
+@query("published_version", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def published_version(v: Views) -> DataFrame:
+    """A mart published twice, read as a reader finds it: the second version whole."""
+    folder, o = f"{shared_folder(v.spark)}/mart-{uuid.uuid4().hex}", v.table("orders").select(c("o_orderstatus").alias("status"))
+    for rows in (o.where("status = 'F'"), o):
+        sinks.publish(rows.groupBy("status").agg(F.count("*").alias("n")), folder)
+    return sinks.published(v.spark, folder)
+
+
+@query("archive_append", "SELECT batch, CAST(sum(seen) AS BIGINT) AS inserted, CAST(sum(twice) AS BIGINT) AS skipped, (SELECT count(*) FROM events) AS stored FROM (SELECT 'first' AS batch, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 0 END AS seen, 0 AS twice FROM events UNION ALL SELECT 'second', CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END, CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END FROM events) GROUP BY 1")
+def archive_append(v: Views) -> DataFrame:
+    """Two batches that overlap, appended to an archive by content hash: what each inserted and skipped, and what is stored in the end."""
+    path = f"{shared_folder(v.spark)}/archive-{uuid.uuid4().hex}"
+    rows = v.table("events").select("event_id", F.sha2(F.to_json(F.struct("event_id", "props")), 256).alias("content_hash"))
+    told = [(name, sinks.append_new(rows.where(cond), path, ["content_hash"])) for name, cond in (("first", "event_id % 3 < 2"), ("second", "event_id % 3 > 0"))]
+    counts = v.spark.createDataFrame([(n, t["inserted"], t["skipped"]) for n, t in told], "batch string, inserted long, skipped long")
+    return counts.crossJoin(v.spark.read.parquet(path).agg(F.count("*").alias("stored")))
+
+
+@query("cursor_commits", "SELECT strftime(TIMESTAMP '2024-01-01' + to_days(CAST(8 * k AS INT)), '%Y-%m-%d') AS day, count(*) AS n, '2024-02-02' AS following FROM (SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) // 8 AS INT) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-02') GROUP BY k")
+def cursor_commits(v: Views) -> DataFrame:
+    """A window read in chunks of eight days, each committed with its cursor, the second one twice as after a crash."""
+    folder, e = f"{shared_folder(v.spark)}/window-{uuid.uuid4().hex}", v.table("events").select("event_id", F.to_date("ts").alias("d"))
+    for i, (a, b) in enumerate(cursors.chunks("2024-01-01", "2024-02-01", 8)):
+        at, end = cursors.Cursor("2024-01-01", a), cursors.Cursor("2024-01-01", b).after_day()
+        for _ in range(2 if i == 1 else 1):
+            cursors.commit(e.where(c("d").between(a, b)), folder, "events", at, end)
+    last = cursors.read_cursor(v.spark, folder, "events")
+    day = F.regexp_extract("batch", "^([0-9-]+)-day", 1)
+    return cursors.committed(v.spark, folder).groupBy(day.alias("day")).agg(F.count("*").alias("n")).withColumn("following", lit(last.day))
+
+
 @query("external_ids", "SELECT event_id AS notice_id, CASE WHEN event_id % 9 <> 4 THEN event_id END AS number FROM events")
 def external_ids(v: Views) -> DataFrame:
     e = v.table("events").select("event_id", F.when(c("event_id") % 9 == 4, _text("da:x", c("event_id"))).otherwise(_text("da:", c("event_id"))).alias("x"))

@@ -296,9 +296,11 @@ _TOKENS = f"(SELECT DISTINCT entity_id, 0 AS attribute, unnest(list_filter(regex
 
 @query("search", f"WITH q(i, w, last) AS (VALUES (0, 'custmer', false), (1, '00000001', true)), h AS (SELECT entity_id, i, attribute, CASE WHEN token = w OR (last AND starts_with(token, w)) THEN 0 ELSE levenshtein(token, w) END AS typos, token <> w AS inexact FROM {_TOKENS}, q WHERE token = w OR (last AND starts_with(token, w)) OR levenshtein(token, w) <= 1), b AS (SELECT entity_id, i, min(typos * 100 + attribute * 10 + CAST(inexact AS INT)) AS b FROM h GROUP BY 1, 2), r AS (SELECT entity_id, count(*) AS words, sum(b // 100) AS typos, min(b // 10 % 10) AS attribute, sum(b % 10) AS inexact FROM b GROUP BY 1) SELECT entity_id, name, words, CAST(typos AS BIGINT) AS typos FROM {ORGS} JOIN r USING (entity_id) ORDER BY words DESC, typos, attribute, inexact, entity_id, name LIMIT 30")
 def search_names(v: Views) -> DataFrame:
+    """A query with a typo and a prefix over an index written to the shared folder."""
     p = v.organisations.select("entity_id", "role", "name", F.col("entity_id").cast("string").alias("code"), "county", F.lit(1.0).alias("total"))
-    docs = search.documents(p)
-    return search.search(docs, search.tokens(docs), "custmer 00000001", limit=30).select("entity_id", "name", "words", "typos")
+    folder = f"{shared_folder(v.spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(p, folder)
+    return search.search_index(v.spark, folder, "custmer 00000001", limit=30).select("entity_id", "name", "words", "typos")
 
 
 @query("treemap")

@@ -1,7 +1,7 @@
 """Paged JSON lists ({total, items[], searchTooLong}) as a Spark data source, one task for each slice of a day.
 
-`spark.read.format("paged_list")` with options url, start, end and dateField posts {dateField: day, pageIndex, pageSize}. The driver
-probes each day; overflowing days are split by `categories`, a JSON object of category: [codes]. Rows are (day, slice, complete, page,
+`spark.read.format("paged_list")` with options url, start, end and dateField posts {dateField: day, pageIndex, pageSize} and what the option filters (a
+JSON object: states, parties, codes) asks the server to leave out. The driver probes each day; overflowing days are split by `categories`, a JSON object of category: [codes]. Rows are (day, slice, complete, page,
 reported, item JSON). What a slice of one code holds beyond the server's limit is lost: its rows have complete = false, and one row
 without an item tells of it if the server gives none. Any other page that overflows, ends early or holds another day's items (dates
 in `itemDate`, by default dateField; earlier ones only with exact = false) fails the task. Needs a network; the planning is pure."""
@@ -91,7 +91,7 @@ class _Reader(DataSourceReader):
         self.o = {k.lower(): v for k, v in options.items()}
 
     def _ask(self, day: str, chosen: dict, page: int, size: int) -> dict:
-        return post(self.o["url"], {self.o["datefield"]: day, **chosen, "pageIndex": page, "pageSize": size})
+        return post(self.o["url"], {**json.loads(self.o.get("filters", "{}")), self.o["datefield"]: day, **chosen, "pageIndex": page, "pageSize": size})
 
     def partitions(self) -> list[_Slice]:
         a, b = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])

@@ -77,3 +77,15 @@ def test_paged_lists_split_overflowing_days_and_mark_what_is_lost(spark):
             read("2020-01-03", "2020-01-03").collect()
     finally:
         server.shutdown()
+
+
+@pytest.mark.parametrize(("name", "scans"), [("da_transactions", 1), ("cri", 1), ("flag_counts", 1)])
+def test_flags_read_the_acquisitions_once_beside_the_shared_sums(spark, name, scans):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and sum("l_shipdate" in line and "Relation" in line for line in plan.splitlines()) == scans
+
+
+def test_search_is_no_nested_loop(spark):
+    df = plans.QUERIES["search"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
