@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -311,10 +310,11 @@ def treemap_tiles(v: Views) -> DataFrame:
 
 @query("bson_scan", "SELECT n_nationkey AS _id, n_name AS name FROM nation")
 def bson_scan(v: Views) -> DataFrame:
-    """A dump of the nations written to a scratch folder and read back; the folder is the driver's, so this runs on one machine."""
+    """The nations, a fixed table of 25 rows, as a dump in the shared folder, read back in ranges of some documents."""
     docs = [{"_id": r["n_nationkey"], "name": r["n_name"]} for r in v.table("nation").orderBy("n_nationkey").collect()]
-    path = f"{tempfile.mkdtemp(prefix='spark-')}/nations.bson"
-    with open(path, "wb") as f:
+    path = f"{shared_folder(v.spark)}/nations-{uuid.uuid4().hex}.bson"
+    where, at = bson.store.FileSystem.from_uri(path)
+    with where.open_output_stream(at) as f:
         f.write(b"".join(map(bson.encode, docs)))
     v.spark.dataSource.register(bson.BsonDump)
     return v.spark.read.format("bson_dump").schema("_id long, name string").option("chunkBytes", 300).load(path)

@@ -2,17 +2,19 @@
 
 A dump is a run of length-prefixed documents. One pass over the lengths finds the starts of about `chunkBytes` each, so a file
 is read by as many tasks. By default reading stops at the first bad length; option `resume` = "chunk" drops the rest of
-the chunk and goes on with the next. Option `maxBytes` bounds how much of each file is read (profiling samples)."""
+the chunk and goes on with the next. Option `maxBytes` bounds how much of each file is read (profiling samples). Paths are local or the
+URI of a store that pyarrow opens (file, hdfs, s3, gs, abfs), a file, a folder of .bson files, or a pattern of file names."""
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import posixpath
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from decimal import Decimal
 
+from pyarrow import fs as store
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -82,11 +84,22 @@ def encode(doc: dict | list) -> bytes:
     return struct.pack("<i", len(body) + 5) + body + b"\0"
 
 
-def starts(path: str, chunk: int, limit: int | None) -> list[tuple[int, int]]:
+def files(path: str) -> tuple[store.FileSystem, list[str]]:
+    """The store and the paths in it that a path names, in order."""
+    where, at = store.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (store.LocalFileSystem(), path)
+    kind = where.get_file_info(at).type
+    if kind == store.FileType.File:
+        return where, [at]
+    folder, pattern = (at, "*.bson") if kind == store.FileType.Directory else posixpath.split(at)
+    listed = where.get_file_info(store.FileSelector(folder, allow_not_found=True))
+    return where, sorted(f.path for f in listed if f.type == store.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+
+
+def starts(where: store.FileSystem, path: str, chunk: int, limit: int | None) -> list[tuple[int, int]]:
     """(start, end) byte ranges of whole documents, about `chunk` bytes each; a bad length ends the list with its own range."""
-    size = min(os.path.getsize(path), limit or 1 << 62)
+    size = min(where.get_file_info(path).size, limit or 1 << 62)
     out, begin, at = [], 0, 0
-    with open(path, "rb") as f:
+    with where.open_input_file(path) as f:
         while at + 4 <= size:
             f.seek(at)
             (n,) = struct.unpack("<i", f.read(4))
@@ -100,8 +113,8 @@ def starts(path: str, chunk: int, limit: int | None) -> list[tuple[int, int]]:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, where: store.FileSystem, path: str, begin: int, end: int):
+        self.where, self.path, self.begin, self.end = where, path, begin, end
 
 
 class _Reader(DataSourceReader):
@@ -111,17 +124,13 @@ class _Reader(DataSourceReader):
         self.limit = int(options["maxbytes"]) if "maxbytes" in options else None
 
     def partitions(self) -> list[_Range]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.bson")) if os.path.isdir(self.path) else glob.glob(self.path))
+        where, found = files(self.path)
         if self.resume == "chunk":
-            out = []
-            for p in files:
-                size = min(os.path.getsize(p), self.limit or 1 << 62)
-                out.append(_Range(p, 0, size))
-            return out
-        return [_Range(p, a, b) for p in files for a, b in starts(p, self.chunk, self.limit)]
+            return [_Range(where, p, 0, min(where.get_file_info(p).size, self.limit or 1 << 62)) for p in found]
+        return [_Range(where, p, a, b) for p in found for a, b in starts(where, p, self.chunk, self.limit)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
+        with part.where.open_input_file(part.path) as f:
             f.seek(part.begin)
             left, held = part.end - part.begin, b""
             while left > 0 or held:

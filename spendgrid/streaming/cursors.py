@@ -57,36 +57,35 @@ def chunks(start: str, end: str, days: int) -> Iterator[tuple[str, str]]:
         at = stop + timedelta(1)
 
 
-def read_cursor(spark: SparkSession, folder: str, source: str) -> Cursor | None:
-    """The last committed cursor of a source, None before the first commit."""
+_LOG = "source string, number long, cursor string"
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All cursors committed so far, None before the first."""
     try:
-        log = spark.read.schema("source string, number long, cursor string").parquet(f"{folder}/cursors")
-        row = log.where(F.col("source") == source).agg(F.max_by("cursor", "number").alias("c")).first()
+        return spark.read.schema(_LOG).parquet(f"{folder}/cursors")
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return None
-    return Cursor.of(row["c"]) if row["c"] else None
+
+
+def read_cursor(spark: SparkSession, folder: str, source: str) -> Cursor | None:
+    """The last committed cursor of a source, None before its first commit."""
+    log = _log(spark, folder)
+    row = log.where(F.col("source") == source).agg(F.max_by("cursor", "number").alias("c")).first() if log else None
+    return Cursor.of(row["c"]) if row and row["c"] else None
 
 
 def commit(batch: DataFrame, folder: str, source: str, at: Cursor, following: Cursor) -> None:
     """Write a batch under the cursor that it was read at, then append the cursor that follows. A crash in between repeats the batch, which
     overwrites itself; readers take whole batches only."""
     spark = batch.sparkSession
-    place = f"source={source}/window={at.window}/batch={at.day}-{at.slice or 'day'}-{at.page}"
-    batch.write.mode("overwrite").parquet(f"{folder}/batches/{place}")
-    number = spark.read.schema("source string, number long, cursor string").parquet(f"{folder}/cursors").count() if read_cursor(spark, folder, source) or _has_log(spark, folder) else 0
-    spark.createDataFrame([(source, number, following.text())], "source string, number long, cursor string").coalesce(1).write.mode("append").parquet(f"{folder}/cursors")
-
-
-def _has_log(spark: SparkSession, folder: str) -> bool:
-    try:
-        spark.read.schema("source string, number long, cursor string").parquet(f"{folder}/cursors").limit(1).count()
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return False
-    return True
+    batch.write.mode("overwrite").parquet(f"{folder}/batches/source={source}/window={at.window}/batch={at.day}-{at.slice or 'day'}-{at.page}")
+    log = _log(spark, folder)
+    last = log.agg(F.max("number").alias("n")).first()["n"] if log else None
+    number = 0 if last is None else last + 1
+    spark.createDataFrame([(source, number, following.text())], _LOG).coalesce(1).write.mode("append").parquet(f"{folder}/cursors")
 
 
 def committed(spark: SparkSession, folder: str) -> DataFrame:
