@@ -73,7 +73,8 @@ def histogram_shards(docs: DataFrame, shards: int = 24, text: str = "text", key:
 
     Rows sort by (hash of the text, hash of the key), so equal texts lie together. A boundary falls between two texts
     wherever that keeps it within `tolerance` of a mean shard; a text whose copies hold at most `whole` of a mean
-    shard is never cut, more frequent ones are cut between copies. A row's bytes are those of its UTF-8 text plus 8.
+    shard is never cut, more frequent ones are cut between copies. So a boundary is off by at most half of `whole` (or by `tolerance`), and a
+    shard holds between 1 - whole and 1 + whole of a mean one, if no single row is larger than that. A row's bytes are those of its UTF-8 text plus 8.
     Null texts count as empty, null keys are allowed, rows that agree in text and key lie together, in any order; an
     empty table gives an empty result. Columns named shard or slot are replaced."""
     docs = docs.drop("shard", "slot")

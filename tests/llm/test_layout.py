@@ -151,7 +151,7 @@ def test_shards_are_even_and_gapless(spark):
     for r in out:
         size[r.shard] += len(r.text) + 8
         slots.setdefault(r.shard, []).append(r.slot)
-    assert size.max() / size.mean() < 1.12 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert 0.9 <= size.min() / size.mean() and size.max() / size.mean() <= 1.1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     homes = {}
     for r in out:
         homes.setdefault(r.text, set()).add(r.shard)
