@@ -89,16 +89,16 @@ def test_toxicity_on_held_out_texts(models):
 def test_swapped_terms_move_regularised_scores_little(models):
     neutral = [f"a meeting of muslims in town {i} on word{i}" for i in range(50)]
     change = [np.mean([abs(_scores(m, [t])[0] - _scores(m, [u])[0]) for t in neutral for u in toxicity.swapped(t)]) for m in models]
-    false = [(_scores(m, neutral) >= 0.5).mean() for m in models]
-    assert change[1] < 0.25 * change[0] and false[1] <= false[0], (change, false)
+    false = [(_scores(m, neutral) >= 0.3).mean() for m in models]
+    assert change[1] < 0.25 * change[0] and false[0] > 0.9 and false[1] < 0.1, (change, false)
 
 
 def test_swapped_copies_are_real_texts():
     text = "The Muslims, and a woman; muslimsx stays. Frauen und Juden."
     got = toxicity.swapped(text)
     assert "The christians, and a woman; muslimsx stays. Frauen und Juden." in got and "The Muslims, and a man; muslimsx stays. Frauen und Juden." in got
-    assert "The Muslims, and a woman; muslimsx stays. männer und Juden." in got and text not in got
-    assert toxicity.swapped("nobody is named here") == [] and len({w for g in toxicity.IDENTITY_GROUPS for w in g}) > 150
+    assert "The Muslims, and a woman; muslimsx stays. männer und Juden." in got and "The people, and a woman; muslimsx stays. Frauen und Juden." in got and text not in got
+    assert toxicity.swapped("nobody is named here") == [] and len({w for _, *g in toxicity.IDENTITY_GROUPS for w in g}) > 150
 
 
 def test_fit_against_a_plain_gradient():
