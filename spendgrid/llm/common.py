@@ -42,6 +42,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps between tasks of one owner; tasks of any other owner make it forget, as workers outlive their stages."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
 # ---------------------------------------------------------------- connected components
 
 
@@ -108,7 +118,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, mix, slices, text_buffer
+from .common import BLANK, mix, slices, text_buffer, worker_memory
 
 #: Bytes of an n-gram.
 GRAM = 4
@@ -113,6 +113,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     known = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.element_at(taken, F.col("lang")))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("languages")
         for batch in batches:
             for piece in slices(batch):
                 buf, off = _padded(*text_buffer(piece.column(1)))
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # its size follows from log2_places and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("languages")
         model = shared.value
         for batch in batches:
             for piece in slices(batch, text):

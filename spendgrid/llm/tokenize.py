@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_memory
 
 #: Distinct chunks that a worker remembers before it starts anew; bounds its memory.
 REMEMBERED = 900_000
@@ -139,14 +140,12 @@ class Encoder:
         return ids, per
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One Encoder for each worker, tokenizer and rule; workers outlive tasks."""
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = Encoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+    kept = worker_memory("encoders")
+    if (path, keeps_space) not in kept:
+        kept[path, keeps_space] = Encoder(path, keeps_space)
+    return kept[path, keeps_space]
 
 
 def with_end(ids: np.ndarray, per: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
