@@ -13,8 +13,8 @@ Jaccard similarity of at least t share a token among their first n - ceil(t * n)
   class in their prefixes, and a set has about two combinations for each token that it may lack, however long it is.
 Each entry carries how many tokens a set cannot share with those that it meets there; two sets share at most what is left.
 Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, and only members
-of one entry that lie in different components are then compared with each other: copies never expand into pairs, and
-no link between components is lost."""
+of one entry that lie in different components are then compared with each other, if hashes of parts of their sets agree as those of similar
+sets must: copies never expand into pairs, and no link between components is lost."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, mix, shingle_sets, slices, small
+from .common import components, discard, materialize, mix, shingle_sets, slices, small, worker_memory
 
 #: Sets that may hold a token that is indexed alone.
 FREQUENT = 24
@@ -40,6 +40,7 @@ def _sets(docs: DataFrame, width: int, make, schema: str) -> DataFrame:
     """docs (doc_id, text, ...) through make(piece, document index, tokens, sizes), a batch of columns for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("sets")
         names = [c.strip().split()[0] for c in schema.split(",")]
         for batch in batches:
             for piece in slices(batch):
@@ -160,6 +161,33 @@ def _combinations(common: DataFrame, still: DataFrame, t: Fraction) -> DataFrame
     return frequent.mapInArrow(run, "token long, doc_id long, n int, u long")
 
 
+def _signatures(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(doc_id, signatures) of docs (doc_id, text): hashes of parts of their sets, for a set's own band and the next.
+
+    All tokens of a set are dealt by their hash into one part more than two similar sets of that band may differ in tokens, (1-t)/(1+t) * (n + m);
+    so similar sets have an equal part, and with it an equal signature."""
+
+    def make(piece, doc, token, n):
+        firsts = _bands(int(n.max(initial=1)), t)
+        own = np.searchsorted(firsts, n, "right") - 1
+        h, rows = mix(token.astype(np.uint64)), []
+        for step in (0, 1):
+            band = own + step
+            most = 2 * (firsts[np.minimum(band + 1, len(firsts) - 1)] - 1)  # sizes of two sets of this band together
+            parts = (t.denominator - t.numerator) * most // (t.denominator + t.numerator) + 1
+            first = np.cumsum(parts) - parts
+            sums = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(sums, first[doc] + (h % parts[doc].astype(np.uint64)).astype(np.int64), mix(h))
+            who = np.repeat(np.arange(len(n)), parts)
+            at = (np.arange(len(who)) - first[who]).astype(np.uint64)
+            rows.append((who, mix(mix(sums) + at * np.uint64(0x9E3779B97F4A7C15) + (band[who].astype(np.uint64) << np.uint64(32))).view(np.int64)))
+        who, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+        ends = np.r_[0, np.cumsum(np.bincount(who, minlength=len(n)))].astype(np.int32)
+        return piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(who, kind="stable")]))
+
+    return _sets(docs, width, make, "doc_id long, signatures array<long>")
+
+
 def _arrays(docs: DataFrame, width: int) -> DataFrame:
     def make(piece, doc, token, n):
         at = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
@@ -240,14 +268,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     # members of one entry in different components: compare each with each, once
     named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    mixed = materialize(named.join(split, "token", "left_semi").select("token", "doc_id", "n", "u", "c"), "mixed")
-    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c")))
-    rest = side("1").join(side("2"), "token").where("doc_id1 < doc_id2 and c1 != c2").where(fits("1", "2")).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
+    # most combinations are common in a group of near copies; sets that share no signature are not similar all the same
+    marked = materialize(_signatures(reps.join(small(still), "doc_id", "left_semi"), width, t), "signatures", compression="zstd")
+    mixed = materialize(named.join(split, "token", "left_semi").join(marked, "doc_id", "left").select("token", "doc_id", "n", "u", "c", "signatures"), "mixed", compression="zstd")
+    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
+    alike = F.coalesce(F.arrays_overlap("signatures1", "signatures2"), F.lit(True))
+    # of each entry, members outside its largest component meet all others: its own members never meet each other
+    largest = mixed.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", "c")).alias("largest"))
+    outside = side("1").join(materialize(largest, "largest"), "token").where("c1 != largest")
+    once = (F.col("c2") == F.col("largest")) | (F.col("doc_id1") < F.col("doc_id2"))
+    rest = outside.join(side("2"), "token").where((F.col("c1") != F.col("c2")) & once).where(fits("1", "2")).where(alike)
+    rest = rest.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, width, t, "rest")
     labels = components(copies.unionByName(links).unionByName(more))
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, hard_common, classes, index, entries, mixed, stars, rest)
+    discard(common, hard_common, classes, marked, index, entries, mixed, stars, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
