@@ -281,12 +281,12 @@ def redact_hash(v: Views) -> DataFrame:
 
 _NORMAL = "array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(name), '.', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t NOT IN ('', 'sc', 'srl', 'sa', 'sca', 'snc', 'scs', 'pfa', 'ra')), ' ')"
 _TRI_OF = "list_distinct(flatten(list_transform(string_split(x, ' '), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-_NAMED = f"(SELECT name, ok, {_TRI_OF} AS t FROM (SELECT name, ok, {_NORMAL} AS x FROM (SELECT p_name AS name, max(p_size) > 40 AS ok FROM part GROUP BY 1)))"
+_NAMED = f"(SELECT name, ok, {_TRI_OF} AS t FROM (SELECT name, ok, {_NORMAL} AS x FROM (SELECT p_name AS name, length(p_name) % 2 = 0 AS ok FROM part GROUP BY p_name)))"
 
 
 @query("name_suggestions", f"SELECT *, CASE WHEN similarity >= CAST(0.85 AS DOUBLE) THEN 'strong' ELSE 'weak' END AS band FROM (SELECT a.name AS a, b.name AS b, len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE) AS similarity FROM {_NAMED} a JOIN {_NAMED} b ON a.name < b.name AND NOT (a.ok AND b.ok)) WHERE similarity >= CAST(0.55 AS DOUBLE)")
 def name_suggestions(v: Views) -> DataFrame:
-    names = v.table("part").groupBy(F.col("p_name").alias("id")).agg((F.max("p_size") > 40).alias("code_valid"))
+    names = v.table("part").select(F.col("p_name").alias("id")).distinct().withColumn("code_valid", F.length("id") % 2 == 0)
     return silver.name_suggestions(names.withColumn("name", X.normalized_name(F.col("id"))))
 
 
