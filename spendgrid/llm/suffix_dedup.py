@@ -22,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, text_buffer
+from .common import materialize, mix, text_buffer, worker_memory
 
 #: Bytes of an anchor: two digits.
 ANCHOR = 16
 #: Bytes of text in a unit; a longer text is a unit of its own.
 UNIT = 4 << 20
 #: Documents with one anchor beyond which its suffixes are dealt singly.
-HOT = 65_536
-#: Windows that are worked on at once when anchors are found, and when a unit sorts its own.
-STEP = 1 << 19
+HOT = 16_384
+#: Windows that are worked on at once: anchors of so many, and sorts of about twice that many at most.
+STEP = 1 << 18
 _CLOSED, _OPEN, _HOT = 0, 1, 2
 
 
@@ -165,10 +165,10 @@ class _Unit:
         self.high, self.low, self.to = high[self.first], low[self.first], to[self.first]
 
     def documents(self) -> np.ndarray:
-        """How many documents hold each distinct anchor, 255 at most."""
+        """How many documents hold each distinct anchor, 65535 at most."""
         new = np.ones(len(self.key), bool)
         new[1:] = (self.key[1:] != self.key[:-1]) | (self.group[1:] != self.group[:-1])
-        return np.minimum(np.bincount(self.group[new], minlength=len(self.first)), 255)
+        return np.minimum(np.bincount(self.group[new], minlength=len(self.first)), 65_535)
 
     def own_sort(self, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the open windows, by state of each distinct anchor: (windows that go on, their anchors, covered windows, echoes, what these echo).
@@ -176,7 +176,7 @@ class _Unit:
         A window is covered if a document of the unit with a smaller key has it, an echo if its own document has it before."""
         runs = np.flatnonzero(state[self.group] > _CLOSED)
         _, last = _edges(self.group[runs])
-        chunk = np.cumsum(self.many[runs])[last - 1] // (STEP // 2)  # whole anchors, about that many windows at once
+        chunk = np.cumsum(self.many[runs])[last - 1] // STEP  # whole anchors, about that many windows at once
         ends = last[np.flatnonzero(np.r_[chunk[1:] != chunk[:-1], True])] if len(runs) else last
         going, of, covered, echo, source = [], [], [], [], []
         for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=len(ends) > 0):
@@ -218,6 +218,7 @@ def units_of(docs: DataFrame, text: str, unit: int) -> DataFrame:
     at = docs.columns.index(text)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("suffixes")
         made, kept, size = TaskContext.get().partitionId() << 32, [], 0
 
         def body() -> pa.RecordBatch:
@@ -259,7 +260,7 @@ def window_messages(units: DataFrame, text: int, width: int, hot: int) -> DataFr
     text: the place of the text among the columns of the units' rows, whose last column is the key."""
     spark = units.sparkSession
     size = units.agg(F.sum("n")).first()[0] or 0
-    tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 23)
+    tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 22)  # about 4 MB of text each
 
     def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,11 +269,11 @@ def window_messages(units: DataFrame, text: int, width: int, hot: int) -> DataFr
                 u.find()
                 many = u.documents()
                 a, b = _edges(u.to)
-                sent = [_packed((u.high[i:j], 8), (u.low[i:j], 8), (many[i:j], 1)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                sent = [_packed((u.high[i:j], 8), (u.low[i:j], 8), (many[i:j], 2)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 yield _rows(_MESSAGE, u.to[a], [unit] * len(sent), sent)
 
     def settle_anchors(table: pa.Table) -> pa.Table:
-        got = [_unpacked(m.as_py(), 8, 8, 1)[0] for m in table.column("message")]
+        got = [_unpacked(m.as_py(), 8, 8, 2)[0] for m in table.column("message")]
         high, low, many = (np.concatenate(x) for x in zip(*got, strict=True))
         raw = np.stack([high, low], axis=1).astype(">u8").view(np.uint8).ravel()
         rows, first = equal_groups(raw, ANCHOR * np.arange(len(high)), ANCHOR)
@@ -326,6 +327,7 @@ def window_messages(units: DataFrame, text: int, width: int, hot: int) -> DataFr
 
 def covered_windows(units: DataFrame, text: int, width: int, hot: int) -> DataFrame:
     """(to, unit, message): what each unit needs to tell which of its windows documents with smaller keys hold."""
+    most = 2 * STEP  # sent with the task
 
     def settle_windows(table: pa.Table) -> pa.Table:
         if table.column("to")[0].as_py() < 0:  # what a unit tells itself
@@ -337,9 +339,16 @@ def covered_windows(units: DataFrame, text: int, width: int, hot: int) -> DataFr
         key, many, buf = np.concatenate(keys), np.concatenate(manys), np.concatenate(bodies)
         start = np.cumsum(many + width - 1) - (many + width - 1)
         order = np.argsort(key, kind="stable")  # so that a group's first row has its smallest key
-        place, of = _spread(start[order], many[order]), np.repeat(order, many[order])
-        rows, first = equal_groups(buf, place, width)
-        taken = rows[key[of[rows]] > key[of[first]]]
+        place, of = _spread(start[order], many[order]).astype(np.int32), np.repeat(order, many[order]).astype(np.int32)
+        # a large task sorts in several parts, dealt by the first digit
+        parts = 1 + len(place) // most
+        part = np.concatenate([(mix(_words(buf, place[i : i + STEP])) % np.uint64(parts)).astype(np.int16) for i in range(0, len(place), STEP)]) if parts > 1 else np.zeros(len(place), np.int8)
+        found = []
+        for k in range(parts):
+            some = np.flatnonzero(part == k)
+            rows, first = (some[x] for x in equal_groups(buf, place[some], width))
+            found.append(rows[key[of[rows]] > key[of[first]]])
+        taken = np.concatenate(found)
         bits = np.zeros(int(many.sum()), bool)
         bits[(np.cumsum(many) - many)[of[taken]] + place[taken] - start[of[taken]]] = True
         ends = np.cumsum([int(m.sum()) for m in manys])

@@ -54,6 +54,20 @@ def test_repeated_windows_across_units_and_with_hot_anchors(spark, unit, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == H.repeats(rows)
 
 
+def test_tasks_that_sort_in_parts_agree(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP", 64)
+    rows = _texts(9, 40)
+    got = suffix_dedup.remove_repeats(H.documents(spark, rows), unit=900).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == H.repeats(rows)
+    buf = np.frombuffer(("the very same words, " * 40).encode(), np.uint8)
+    off = np.array([0, 300, len(buf)])
+    at, many, high, low = suffix_dedup.anchors(buf, off, 50)
+    monkeypatch.undo()
+    whole = suffix_dedup.anchors(buf, off, 50)
+    spread = lambda start, many, *digits: {(int(p), *(int(d[i]) for d in digits)) for i in range(len(start)) for p in range(start[i], start[i] + many[i])}
+    assert spread(at, many, high, low) == spread(*whole) and len(at) >= len(whole[0])
+
+
 def test_a_hot_passage_makes_no_large_group(spark):
     """Of 3000 documents with one passage each, no task of the window pass sees more rows than units, as hot anchors are dealt singly."""
     r = random.Random(11)
@@ -228,3 +242,19 @@ def test_embedding_awkward_vectors(spark):
     assert got[1] == (3, 1) and got[2] == (3, 1) and got[10] == (3, 1) and got[11] == (3, 1)
     assert all(got[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9)) and got[None] == (0, None)
     assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_similar_sets_share_a_signature(spark):
+    r = random.Random(31)
+    t, rows = Fraction(4, 5), []
+    for i in range(60):
+        w = [f"{i}x{k}" for k in range(r.randint(6, 90))]
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(r.randint(0, max(len(w) // 25, 1))):
+            w[r.randrange(len(w))] = f"new{r.random()}"
+        rows.append((2 * i + 1, " ".join(w)))
+    docs = H.documents(spark, rows).select("doc_id", "text")
+    got = {x.doc_id: set(x.signatures) for x in jaccard_join._signatures(docs, 3, t).collect()}
+    sets = {i: H.shingles(x, 3) for i, x in rows}
+    similar = [i for i in range(0, 120, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    assert len(similar) > 10 and all(got[i] & got[i + 1] for i in similar) and not got[0] & got[2]
