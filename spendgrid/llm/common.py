@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import shared_folder
 
@@ -52,6 +53,23 @@ def worker_memory(owner: str) -> dict:
     return _kept.setdefault(owner, {})
 
 
+def with_columns_of(docs: DataFrame, column: str, added: dict[str, DataType], judge: Callable[[pa.Array], list[pa.Array]], rows: int = 4096) -> DataFrame:
+    """All rows and columns of docs, and the columns that judge makes of pieces of `column`; existing columns of these names are replaced.
+
+    Columns pass the workers under numbers, so that their names may hold anything."""
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in {a.lower() for a in added}]
+    names, at = [docs.columns[i] for i in kept], docs.columns.index(column)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(f"c{i}" for i in kept))
+    schema = StructType([*(StructField(f"c{i}", docs.schema[i].dataType) for i in kept), *(StructField(c, t) for c, t in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, f"c{at}", rows=rows):
+                yield pa.RecordBatch.from_arrays([*piece.columns, *judge(piece.column(kept.index(at)))], names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*names, *added)
+
+
 # ---------------------------------------------------------------- connected components
 
 

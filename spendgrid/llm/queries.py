@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, langid, media, mixing, packing, sharding, suffix_dedup, token_blocks, toxicity
+from . import embedding_dedup, jaccard_join, langid, media, mixing, packing, quality, sharding, suffix_dedup, token_blocks, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,13 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=True).drop("ids")
 
 
+def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = quality.score(docs, quality.train(docs, labels.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": embedding_forest,
     "op2_repeated_windows": repeated_windows,
@@ -89,10 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": source_mixing,
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_best_fit_packing": best_fit_packing,
+    "op11_quality_votes": quality_votes,
 }
 
-#: Languages, toxicity, tokenizers, byte suffixes, sound and Spark's own hashes are beyond SQL: op2 to op7 and op10
-#: have tests instead.
+#: Languages, toxicity, tokenizers, byte suffixes, sound and Spark's own hashes are beyond SQL: op2 to op7, op10
+#: and op11 have tests instead.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_forest": """WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
  links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.id <> q.id AND list_cosine_similarity(p.e, q.e) >= CAST(0.9 AS DOUBLE)),
