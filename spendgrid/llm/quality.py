@@ -185,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], names=["term", "holds"])
 
     counted = rows.mapInArrow(holders, "term long, holds long").groupBy("term").agg(F.sum("holds").alias("holds")).where(F.col("holds") >= F.lit(min(2, n)))
-    rare = F.log(F.lit(1.0 + n) / F.col("holds"))
-    words_ = counted.where(F.col("term") < WORDS).orderBy((F.col("holds") * rare * rare).desc(), "term").limit(columns)
-    found = words_.unionByName(counted.where(F.col("term") >= WORDS)).toPandas().sort_values("term")  # the other terms are at most TRIGRAMS + RECUR
+    found = counted.toPandas()  # at most TERMS rows, as words are hashed
+    value = np.where(found["term"] < WORDS, found["holds"] * np.log((1.0 + n) / found["holds"]) ** 2, np.inf)
+    found = found.iloc[np.lexsort((found["term"], -value))][: columns + int((found["term"] >= WORDS).sum())].sort_values("term")
     known = found["term"].to_numpy().astype(np.int64)
     holds = found["holds"].to_numpy().astype(np.float64)
     # classes and recurrence tell by how often, not by whether, a text holds them

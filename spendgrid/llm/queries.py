@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, langid, media, mixing, packing, quality, sharding, suffix_dedup, token_blocks, toxicity
+from . import embedding_dedup, jaccard_join, langid, lexical, media, mixing, packing, quality, sharding, suffix_dedup, token_blocks, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,11 @@ def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.store_index(_documents(spark, sf_dir))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": embedding_forest,
     "op2_repeated_windows": repeated_windows,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": ngram_jaccard,
     "op10_best_fit_packing": best_fit_packing,
     "op11_quality_votes": quality_votes,
+    "op12_block_max_search": block_max_search,
 }
 
 #: Languages, toxicity, tokenizers, byte suffixes, sound and Spark's own hashes are beyond SQL: op2 to op7, op10
@@ -122,4 +128,14 @@ ORACLE_SQL: dict[str, str] = {
  links AS (SELECT p.id AS a, q.id AS b FROM e p JOIN e q ON p.g = q.g AND p.id <> q.id GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
  reach(id, c) AS (SELECT id, id FROM n UNION SELECT l.b, reach.c FROM reach JOIN links l ON l.a = reach.id)
  SELECT n.id AS doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) m ON m.id = n.id""",
+    "op12_block_max_search": r"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ a AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+ s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t WHERE len(w) > 0),
+ o AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t),
+ p AS (SELECT doc_id, n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM a) GROUP BY doc_id, n, term),
+ d AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, s GROUP BY term, n_docs),
+ i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS impact FROM p, s),
+ r AS (SELECT item_id, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM a JOIN d USING (term) JOIN i USING (term) GROUP BY item_id, doc_id)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""",
 }

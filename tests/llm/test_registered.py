@@ -13,7 +13,7 @@ COLUMNS = {
     "op4_toxicity_scores": "doc_id held_out score predicted", "op5_language_id": "doc_id held_out lang_pred score", "op6_token_files": "doc_id start n_tokens ids_crc32",
     "op7_telephony_audio": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op8_source_mixing": "doc_id size source_size target taken",
     "op9_ngram_jaccard": "doc_id n_shingles component_id", "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
-    "op11_quality_votes": "doc_id held_out score predicted",
+    "op11_quality_votes": "doc_id held_out score predicted", "op12_block_max_search": "item_id rank doc_id score",
 }
 
 
@@ -22,7 +22,7 @@ def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert set(COLUMNS[name].split()) <= set(got.columns)
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = got.toPandas()
     if name in queries.ORACLE_SQL:
