@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, langid, lexical, media, mixing, packing, quality, sharding, suffix_dedup, token_blocks, toxicity
+from . import embedding_dedup, jaccard_join, langid, lexical, media, mixing, packing, quality, sharding, spelling, suffix_dedup, token_blocks, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,10 @@ def block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(_documents(spark, sf_dir), slip=199, length=6), least=5, ratio=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": embedding_forest,
     "op2_repeated_windows": repeated_windows,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": best_fit_packing,
     "op11_quality_votes": quality_votes,
     "op12_block_max_search": block_max_search,
+    "op13_spelling_variants": spelling_variants,
 }
 
 #: Languages, toxicity, tokenizers, byte suffixes, sound and Spark's own hashes are beyond SQL: op2 to op7, op10
@@ -138,4 +143,19 @@ ORACLE_SQL: dict[str, str] = {
  i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS impact FROM p, s),
  r AS (SELECT item_id, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM a JOIN d USING (term) JOIN i USING (term) GROUP BY item_id, doc_id)
  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""",
+    "op13_spelling_variants": r"""WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+ w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+ p AS (SELECT w, count(*) AS times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM w GROUP BY doc_id, w),
+ h AS (SELECT w, times, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM p, tbl),
+ s AS (SELECT times, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % len(w)) || substr(w, h % len(w) + 2) ELSE w END AS word FROM h),
+ v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n, unnest(range(1, len(word) + 1)) AS i FROM s WHERE len(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+ g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM v),
+ l AS (SELECT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+ UNION SELECT g.word, b.word, b.n FROM g JOIN (SELECT DISTINCT word, n FROM v) b ON g.d = b.word
+ UNION SELECT b.word, g.word, g.n FROM g JOIN (SELECT DISTINCT word, n FROM v) b ON g.d = b.word),
+ m AS (SELECT word, count(*) AS n_near, max(n) AS most FROM l GROUP BY word),
+ b AS (SELECT l.word, m.n_near, m.most, min(l.near) AS best FROM l JOIN m ON l.word = m.word AND l.n = m.most GROUP BY l.word, m.n_near, m.most),
+ f AS (SELECT x.word, x.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * x.n THEN b.best END AS form, CASE WHEN b.most >= 5 * x.n THEN b.most END AS form_n FROM (SELECT DISTINCT word, n FROM v) x LEFT JOIN b ON b.word = x.word),
+ r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+ SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.root AND e.form IS NULL""",
 }

@@ -14,6 +14,7 @@ COLUMNS = {
     "op7_telephony_audio": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op8_source_mixing": "doc_id size source_size target taken",
     "op9_ngram_jaccard": "doc_id n_shingles component_id", "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op11_quality_votes": "doc_id held_out score predicted", "op12_block_max_search": "item_id rank doc_id score",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 
 
