@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType
 
-from .common import materialize, slices, text_buffer
+from .common import materialize, slices, text_buffer, with_columns_of
 
 
 def mulaw_table() -> np.ndarray:
@@ -91,6 +92,27 @@ def resample(pcm: np.ndarray, up: int = 2, size: np.ndarray | None = None) -> np
     return out.ravel()
 
 
+def pack_pcm(pcm: np.ndarray, size: np.ndarray, up: int = 2) -> list[bytes]:
+    """Lossless codes of files of these many samples one after another, each a multiple of `up`: `up`, whether samples lie off the lines between every up-th one
+    (a byte each), these samples, and only if so what all samples differ by from the lines (two bytes each)."""
+    frames = size // up
+    base = pcm[::up]
+    rest = pcm.astype(np.int32) - resample(base, up, frames)
+    off = np.r_[0, np.cumsum(size)]
+    bent = np.r_[0, np.cumsum(rest != 0)][off]
+    bent = bent[1:] > bent[:-1]
+    raw = base.astype("<i2").tobytes()
+    return [bytes([up, curved]) + raw[2 * a // up : 2 * b // up] + (rest[a:b].astype("<u2").tobytes() if curved else b"") for a, b, curved in zip(off[:-1].tolist(), off[1:].tolist(), bent.tolist(), strict=True)]
+
+
+def unpack_pcm(code: bytes) -> np.ndarray:
+    """The 16-bit samples of a code of pack_pcm()."""
+    up, raw = code[0], np.frombuffer(code, "<i2", offset=2)
+    frames = len(raw) // (up + 1) if code[1] else len(raw)
+    line = resample(raw[:frames], up)
+    return line + raw[frames:] if code[1] else line
+
+
 def measure(pcm: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Peak, sum of absolute samples and zero crossings of files (none empty) of these many samples one after another."""
     begin = np.cumsum(size) - size
@@ -151,24 +173,18 @@ def decode_audio(media: DataFrame, up: int = 2, column: str = "media") -> DataFr
     """All columns of media with pcm (binary, little-endian 16-bit at `up` times the rate) and pcm_rate; null media gives nulls.
 
     Each file is expanded by its own codec. An empty table gives an empty result; existing columns of these names are replaced."""
-    out = media.drop("pcm", "pcm_rate")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), "pcm binary, pcm_rate int"])
-    at, columns = out.columns.index(column), [*out.columns, "pcm", "pcm_rate"]
+    def read(col: pa.Array) -> list[pa.Array]:
+        pcm, rates = [], []
+        for x in col:
+            if not x.is_valid:
+                pcm.append(None), rates.append(None)
+                continue
+            codec, rate, data = read_wav(x.as_py())
+            pcm.append(resample(expand(np.frombuffer(data, np.uint8), codec), up).astype("<i2").tobytes())
+            rates.append(rate * up)
+        return [pa.array(pcm, pa.binary()), pa.array(rates, pa.int32())]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column, 1 << 20, 64):
-                pcm, rates = [], []
-                for x in part.column(at):
-                    if not x.is_valid:
-                        pcm.append(None), rates.append(None)
-                        continue
-                    codec, rate, data = read_wav(x.as_py())
-                    pcm.append(resample(expand(np.frombuffer(data, np.uint8), codec), up).astype("<i2").tobytes())
-                    rates.append(rate * up)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary()), pa.array(rates, pa.int32())], names=columns)
-
-    return out.mapInArrow(read, schema)
+    return with_columns_of(media, column, {"pcm": BinaryType(), "pcm_rate": IntegerType()}, read, rows=64)
 
 
 #: What store_sound() keeps of a file besides its sound.
@@ -181,10 +197,11 @@ def _line(codec: str, pcm: np.ndarray, size: np.ndarray) -> list[str]:
 
 
 def store_sound(media: DataFrame, up: int = 2, unit: int = 64) -> DataFrame:
-    """A table of the sound of stored files, read back: pcm (16-bit, `up` times the rate), with digests of the coded bytes and of the file.
+    """A table of the sound of stored files, read back: sound (pack_pcm() of the 16-bit PCM at `up` times the rate, see pcm_of()), with digests of the coded bytes and of
+    the file.
 
     heard holds the measures of the payload heard by the other two codecs (ADPCM in blocks of `unit` bytes), whose sound is not kept."""
-    names = {**_DIGESTS, "pcm": pa.binary()}
+    names = {**_DIGESTS, "sound": pa.binary()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,16 +216,20 @@ def store_sound(media: DataFrame, up: int = 2, unit: int = 64) -> DataFrame:
                     pcm = resample(expand(payload, codec, unit), up, count)
                     lines[codec] = _line(codec, pcm, count * up)
                     if codec in codecs:
-                        sound[codec] = (pcm.astype("<i2").tobytes(), np.r_[0, np.cumsum(count)] * 2 * up)
+                        sound[codec] = pack_pcm(pcm, count * up, up)
                 out = [part.column(0), part.column(1), size, [hashlib.sha256(d).hexdigest() for d in data], [zlib.crc32(d[-unit:]) for d in data]]
                 out += [[len(f) for f in files], [hashlib.sha256(f).hexdigest() for f in files], codecs]
                 out.append([";".join(lines[c][i] for c in lines if c != own) for i, own in enumerate(codecs)])
-                out.append([sound[c][0][sound[c][1][i] : sound[c][1][i + 1]] for i, c in enumerate(codecs)])
+                out.append([sound[c][i] for i, c in enumerate(codecs)])
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, names.values(), strict=True)], names=list(names))
 
     made = media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(f"{c} {_KINDS[t]}" for c, t in names.items()))
-    # sound is written once and read often: strong compression over large pages
-    return materialize(made, "sound", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(16 << 20), "parquet.enable.dictionary": "false"})
+    return materialize(made, "sound", **{"compression": "zstd", "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"})
+
+
+def pcm_of(sound: DataFrame) -> DataFrame:
+    """sound with pcm, the resampled little-endian 16-bit samples of each file."""
+    return with_columns_of(sound, "sound", {"pcm": BinaryType()}, lambda col: [pa.array([unpack_pcm(x.as_py()).astype("<i2").tobytes() if x.is_valid else None for x in col], pa.binary())], rows=256)
 
 
 def audio_features(sound: DataFrame) -> DataFrame:
@@ -222,11 +243,11 @@ def audio_features(sound: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "pcm", 4 << 20):
-                buf, off = text_buffer(part.column(len(_DIGESTS)))
-                own = _line("", np.frombuffer(buf.tobytes(), "<i2"), np.diff(off) // 2)
+            for part in slices(batch, "sound", 2 << 20, 1024):
+                samples = [unpack_pcm(x) for x in part.column(len(_DIGESTS)).to_pylist()]
+                own = _line("", np.concatenate(samples), np.array([len(x) for x in samples]))
                 heard = [[*h.split(";"), c + x] for h, c, x in zip(part.column(8).to_pylist(), part.column(7).to_pylist(), own, strict=True)]
                 feature = [";".join(sorted(h, key=lambda x: ("mulaw", "alaw", "adpcm").index(x.split(":")[0]))) for h in heard]
                 yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(feature, pa.string())], names=list(names))
 
-    return sound.select(*_DIGESTS, "pcm").mapInArrow(read, ", ".join(f"{c} {_KINDS[t]}" for c, t in names.items()))
+    return sound.select(*_DIGESTS, "sound").mapInArrow(read, ", ".join(f"{c} {_KINDS[t]}" for c, t in names.items()))
