@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import BLANK, mix, slices, text_buffer, worker_memory
+from .common import BLANK, materialize, mix, slices, small, text_buffer, with_columns_of, worker_memory
 
 #: Bytes of an n-gram.
 GRAM = 4
@@ -101,16 +102,16 @@ class LanguageFilters:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = 2000, grams: int = 20_000, share: float = 0.02, noise: float = 0.35) -> LanguageFilters | None:
     """Filters from rows of docs with a language: about `sample` rows for each language (all if it has fewer), chosen by a hash of
     the key. A language's filter gets the n-grams that at least `share` of its sampled texts contain, at most `grams`, unless
-    another language's texts contain them more than 1/noise times as often. None if there is nothing to learn from.
+    another language's texts contain them more than 1/noise times as often. A column of very many values costs filters of so many bits, no wider plan. None if there is nothing to learn from.
 
     The driver receives at most `grams` n-grams for each language, whatever the input's size."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(key)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    sizes = {r["lang"]: r["texts"] for r in counts.collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    taken = F.create_map(*(x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, sample / n)))))
-    known = known.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.element_at(taken, F.col("lang")))
+    known = known.join(small(counts), "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("texts")))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("languages")
@@ -127,8 +128,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
                 yield pa.RecordBatch.from_arrays([names.take(pa.array((pair >> np.uint64(32)).astype(np.int64))), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = known.select("lang", "text").mapInArrow(held, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    texts = F.create_map(*(x for l, n in sizes.items() for x in (F.lit(l), F.lit(float(min(n, sample))))))
-    counted = counted.withColumn("rate", F.col("n") / F.element_at(texts, F.col("lang"))).where(F.col("rate") >= share)
+    counted = counted.join(small(counts), "lang").withColumn("rate", F.col("n") / F.least("texts", F.lit(sample)).cast("double")).where(F.col("rate") >= share)
     ranked = counted.withColumn("place", F.expr("row_number() over (partition by lang order by rate desc, gram)")).where(F.col("place") <= grams)
     found = ranked.select("lang", "gram", "rate").toPandas()
     found["most"] = found.groupby("gram")["rate"].transform("max")
@@ -148,37 +148,31 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
     part of the sum over languages, weighted by the part of the n-grams that it holds. Null texts and texts without a letter are
     `und` with score 0, and so is every text if there are no filters. Rows are judged each for itself, so null keys, repeated rows and an empty table
     need nothing of their own; long texts are read whole. Existing columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "lang_score")
-    at, columns = docs.columns.index(text), [*docs.columns, "lang_pred", "lang_score"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double"])
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # its size follows from log2_places and the number of languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(col: pa.Array) -> list[pa.Array]:
         worker_memory("languages")
         model = shared.value
-        for batch in batches:
-            for piece in slices(batch, text):
-                col = piece.column(at)
-                buf, off = text_buffer(col)
-                letters = np.r_[0, np.cumsum(_LETTER[buf])]
-                known = letters[off[1:]] > letters[off[:-1]]
-                wide = np.r_[0, np.cumsum(buf >= 128)]
-                for i in np.flatnonzero(~known & (wide[off[1:]] > wide[off[:-1]])):
-                    known[i] = any(c.isalpha() for c in col[int(i)].as_py())
-                if model is None:
-                    known[:] = False
-                    best, score = np.zeros(len(known), int), np.zeros(len(known))
-                else:
-                    counts, total = model.counts(*_padded(buf, off))
-                    silent = np.flatnonzero(known & (counts.max(axis=1) == 0))
-                    if len(silent):  # words that punctuation hides
-                        again, ends = text_buffer(col.take(pa.array(silent)))
-                        counts[silent], total[silent] = model.counts(*_padded(_OPEN[again], ends))
-                    best = np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), model.usual)
-                    top, sums = counts[np.arange(len(best)), best], counts.sum(axis=1)
-                    part = np.divide(top, sums, out=np.zeros_like(top), where=sums > 0)
-                    score = np.clip(part * np.sqrt(np.divide(top, total, out=np.zeros_like(top), where=total > 0)), 0, 1)
-                names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=columns)
-
-    return docs.mapInArrow(run, schema)
+        buf, off = text_buffer(col)
+        letters = np.r_[0, np.cumsum(_LETTER[buf])]
+        known = letters[off[1:]] > letters[off[:-1]]
+        wide = np.r_[0, np.cumsum(buf >= 128)]
+        for i in np.flatnonzero(~known & (wide[off[1:]] > wide[off[:-1]])):
+            known[i] = any(c.isalpha() for c in col[int(i)].as_py())
+        if model is None:
+            known[:] = False
+            best, score = np.zeros(len(known), int), np.zeros(len(known))
+        else:
+            counts, total = model.counts(*_padded(buf, off))
+            silent = np.flatnonzero(known & (counts.max(axis=1) == 0))
+            if len(silent):  # words that punctuation hides
+                again, ends = text_buffer(col.take(pa.array(silent)))
+                counts[silent], total[silent] = model.counts(*_padded(_OPEN[again], ends))
+            best = np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), model.usual)
+            top, sums = counts[np.arange(len(best)), best], counts.sum(axis=1)
+            part = np.divide(top, sums, out=np.zeros_like(top), where=sums > 0)
+            score = np.clip(part * np.sqrt(np.divide(top, total, out=np.zeros_like(top), where=total > 0)), 0, 1)
+        names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))]
+
+    return with_columns_of(docs, text, {"lang_pred": StringType(), "lang_score": DoubleType()}, judge)

@@ -21,6 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import materialize, mix, text_buffer, worker_memory
 
@@ -73,7 +74,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     """(first window, windows, anchor's two digits) of every run of windows of documents in buf with one anchor."""
     n = max(len(buf) - width + 1, 0)
     whole = np.diff(off) >= width
-    edge = np.zeros(n + 1, np.int8)  # windows that lie in one document
+    edge = np.zeros(n + 1, np.int32)  # windows that lie in one document
     np.add.at(edge, off[:-1][whole], 1)
     np.add.at(edge, off[1:][whole] - width + 1, -1)
     inside = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
@@ -165,10 +166,10 @@ class _Unit:
         self.high, self.low, self.to = high[self.first], low[self.first], to[self.first]
 
     def documents(self) -> np.ndarray:
-        """How many documents hold each distinct anchor, 65535 at most."""
+        """How many documents hold each distinct anchor."""
         new = np.ones(len(self.key), bool)
         new[1:] = (self.key[1:] != self.key[:-1]) | (self.group[1:] != self.group[:-1])
-        return np.minimum(np.bincount(self.group[new], minlength=len(self.first)), 65_535)
+        return np.bincount(self.group[new], minlength=len(self.first))
 
     def own_sort(self, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the open windows, by state of each distinct anchor: (windows that go on, their anchors, covered windows, echoes, what these echo).
@@ -269,11 +270,11 @@ def window_messages(units: DataFrame, text: int, width: int, hot: int) -> DataFr
                 u.find()
                 many = u.documents()
                 a, b = _edges(u.to)
-                sent = [_packed((u.high[i:j], 8), (u.low[i:j], 8), (many[i:j], 2)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                sent = [_packed((u.high[i:j], 8), (u.low[i:j], 8), (many[i:j], 4)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
                 yield _rows(_MESSAGE, u.to[a], [unit] * len(sent), sent)
 
     def settle_anchors(table: pa.Table) -> pa.Table:
-        got = [_unpacked(m.as_py(), 8, 8, 2)[0] for m in table.column("message")]
+        got = [_unpacked(m.as_py(), 8, 8, 4)[0] for m in table.column("message")]
         high, low, many = (np.concatenate(x) for x in zip(*got, strict=True))
         raw = np.stack([high, low], axis=1).astype(">u8").view(np.uint8).ravel()
         rows, first = equal_groups(raw, ANCHOR * np.arange(len(high)), ANCHOR)
@@ -360,7 +361,7 @@ def covered_windows(units: DataFrame, text: int, width: int, hot: int) -> DataFr
 
 def _removed(answers: dict[int, bytes], n: int, width: int) -> np.ndarray:
     """Which of a unit's n bytes go."""
-    edge = np.zeros(n + 1, np.int8)
+    edge = np.zeros(n + 1, np.int32)
     own = next((m for t, m in answers.items() if t < 0), None)
     if own is None:
         return edge[:n].astype(bool)
@@ -376,7 +377,7 @@ def _removed(answers: dict[int, bytes], n: int, width: int) -> np.ndarray:
     place = np.flatnonzero(taken)
     np.add.at(edge, place, 1)
     np.add.at(edge, place + width, -1)
-    return np.cumsum(edge[:n], dtype=np.int8) > 0
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: str = "doc_id", unit: int = UNIT, hot: int = HOT) -> DataFrame:
@@ -391,12 +392,16 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
     if width < 24:
         raise ValueError("strings of fewer than 24 bytes are not supported")
     names = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
-    docs = docs.drop(*names)
-    at = docs.columns.index(text)
-    units = units_of(docs.withColumn("_id", F.col(key).cast("long")), text, unit)
+    given = docs.columns
+    left = [i for i, c in enumerate(given) if c.lower() not in names]
+    # columns pass the workers under numbers, so that their names may hold anything
+    docs = docs.toDF(*(f"c{i}" for i in range(len(given)))).select(*(f"c{i}" for i in left))
+    at = left.index(given.index(text))
+    units = units_of(docs.withColumn("_id", F.col(f"c{given.index(key)}").cast("long")), docs.columns[at], unit)
     answers = covered_windows(units, at, width, hot)
     columns = [*docs.columns, *names]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start: int, end: int>>"])
+    spans = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    schema = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(names, (BinaryType(), LongType(), LongType(), LongType(), spans), strict=True))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +410,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
                 buf, off = u.buf, u.off
                 gone = _removed(_read_answers(cell), len(buf), width)
                 raw = buf[~gone].tobytes()
-                left = np.r_[0, np.cumsum(~gone)][off]
+                stay = np.r_[0, np.cumsum(~gone)][off]
                 head = np.zeros(len(buf) + 1, bool)
                 head[off] = True
                 open_ = np.flatnonzero(gone & (~np.r_[False, gone[:-1]] | head[:-1]))
@@ -414,9 +419,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, text: str = "text", key: st
                 spans = np.bincount(doc, minlength=len(off) - 1)
                 pairs = pa.StructArray.from_arrays([pa.array((open_ - off[doc]).astype(np.int32)), pa.array((close - off[doc]).astype(np.int32))], names=["start", "end"])
                 size = np.diff(off)
-                out = [pa.array([raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.binary()), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans.astype(np.int64))]
+                out = [pa.array([raw[a:b] for a, b in zip(stay[:-1].tolist(), stay[1:].tolist(), strict=True)], pa.binary()), pa.array(size), pa.array(size - np.diff(stay)), pa.array(spans.astype(np.int64))]
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(spans)].astype(np.int32)), pairs))
                 for part in pa.Table.from_arrays([*u.batch.columns[:-1], *out], names=columns).combine_chunks().to_batches(max_chunksize=1024):
                     yield part
 
-    return _answers(units, answers).mapInArrow(cut, schema)
+    return _answers(units, answers).mapInArrow(cut, schema).toDF(*(given[i] for i in left), *names)

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import FOLDED, Rolling, materialize, slices, text_buffer, words
+from .common import FOLDED, Rolling, materialize, slices, text_buffer, with_columns_of, words
 
 #: Buckets of the hashed words.
 BUCKETS = 1 << 20
@@ -227,14 +228,5 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
     Rows are scored each for itself, so null keys, repeated rows and an empty table need nothing of their own; a long text is
     read whole. An existing column of that name is replaced."""
-    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input's size
-    at, columns = docs.columns.index(text), [*docs.columns, "toxicity"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxicity double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.score(piece.column(at)))], names=columns)
-
-    return docs.mapInArrow(run, schema)
+    return with_columns_of(docs, text, {"toxicity": DoubleType()}, lambda col: [pa.array(shared.value.score(col))])

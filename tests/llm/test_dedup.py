@@ -68,6 +68,16 @@ def test_tasks_that_sort_in_parts_agree(spark, monkeypatch):
     assert spread(at, many, high, low) == spread(*whole) and len(at) >= len(whole[0])
 
 
+@pytest.mark.parametrize("width", [24, 127, 128, 200, 300])
+def test_repeated_windows_of_any_width(spark, width):
+    r = random.Random(width)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    long, passage = text(1200), text(width + 3)
+    rows = [(1, long), (2, text(40) + long + text(40)), (3, passage + text(30)), (4, text(9) + passage), (5, long[:width] + "!" + long[:width]), (6, long[: width - 1])]
+    got = suffix_dedup.remove_repeats(H.documents(spark, rows), width=width, unit=1500).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == H.repeats(rows, width)
+
+
 def test_a_hot_passage_makes_no_large_group(spark):
     """Of 3000 documents with one passage each, no task of the window pass sees more rows than units, as hot anchors are dealt singly."""
     r = random.Random(11)
