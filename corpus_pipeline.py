@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendgrid.llm import jaccard_join, langid, mixing, packing, suffix_dedup
@@ -25,11 +25,15 @@ def _others_apart(stage):
 
     @functools.wraps(stage)
     def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        others = [c for c in docs.columns if c not in COLUMNS]
-        if not others:
+        names = docs.columns
+        if set(names) <= set(COLUMNS):
             return stage(spark, docs, sf_dir)
-        out = stage(spark, docs.select(*(c for c in docs.columns if c in COLUMNS), F.struct(*others).alias("_others")), sf_dir)
-        return out.select(*(F.col("_others")[c].alias(c) if c in others else F.col(c) for c in docs.columns))
+        # by place, as names may hold anything and differ in case only
+        own = [names.index(c) for c in COLUMNS if c in names]
+        numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+        others = F.struct(*(f"c{i}" for i in range(len(names)) if i not in own)).alias("_others")
+        out = stage(spark, numbered.select(*(F.col(f"c{i}").alias(names[i]) for i in own), others), sf_dir)
+        return out.select(*(F.col(names[i]) if i in own else F.col("_others")[f"c{i}"] for i in range(len(names)))).toDF(*names)
 
     return run_
 
@@ -60,8 +64,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     gone = materialize(groups.where("not kept").select("doc_id").distinct(), "near-copies")
     kept = docs.join(small(gone), "doc_id", "left_anti")
     twice = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.limit(1).count():  # rows that share a key are one document: the first by text stays
-        many = kept.join(small(twice), "doc_id", "left_semi").withColumn("_n", F.expr("row_number() over (partition by doc_id order by text)"))
+    if twice.limit(1).count():  # rows that share a key are one document: the first by text, then by the other columns, stays
+        order = [F.to_json("_others") if c == "_others" else F.col(c) for c in ["text", *(c for c in kept.columns if c not in ("doc_id", "text"))]]
+        many = kept.join(small(twice), "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
         kept = kept.join(small(twice), "doc_id", "left_anti").unionByName(many.where("_n = 1").drop("_n"))
     return kept.select(*docs.columns)
 
