@@ -94,3 +94,24 @@ def test_stages_take_awkward_rows_and_clashing_columns(spark, tmp_path):
         assert all(r._id == 7 and r.copies == 7.0 and (r.size is not None) == (r.text is not None) for r in at.collect())
     assert {r.doc_id for r in at.collect()} <= {None, 4, 5, 6, 9, 10}
     assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() >= at.count()
+
+
+def test_stages_take_columns_of_any_name(spark):
+    odd = ["my col", "a,b", "x:y", "q`t", "dot.ted", "st{r}uct"]
+    docs = H.documents(spark, _rows())
+    names = [odd[0], "doc_id", "text", odd[1], odd[2], "lang", "source", "n_chars", odd[3], odd[4], odd[5]]
+    wide = docs.select(F.lit(1), "doc_id", "text", F.lit("x"), F.lit(None).cast("int"), "lang", "source", "n_chars", F.array(F.lit(2)), F.lit(0.5), F.struct(F.lit(3).alias("in, `ner`"))).toDF(*names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        plain = stage(spark, docs, "")
+        assert out.columns == names, name
+        rows = out.toDF(*(f"c{i}" for i in range(len(names)))).collect()
+        assert all((r.c0, r.c3, r.c4, r.c8, r.c9, r.c10[0]) == (1, "x", None, [2], 0.5, 3) for r in rows)
+        assert sorted((r.doc_id, r.text or "") for r in plain.collect()) == sorted((r.c1, r.c2 or "") for r in rows)
+
+
+def test_of_rows_with_one_key_the_same_one_stays(spark):
+    rows = [(1, "same words in both of these rows", "en", "b"), (1, "same words in both of these rows", "en", "a"), (1, "same words in both of these rows", "de", "z"), (2, "something else entirely here", "en", "a")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = corpus_pipeline.keep_one_of_near_copies(spark, H.documents(spark, order), "").collect()
+        assert sorted((r.doc_id, r.lang, r.source) for r in got) == [(1, "de", "z"), (2, "en", "a")]
