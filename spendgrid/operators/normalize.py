@@ -37,9 +37,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _ord(kind: str, place: Column | None = None) -> Column:
-    """A mention's turn: kind, record, place in the record."""
-    return F.struct(F.lit(ORDER.index(kind)).alias("kind"), F.col("raw_id").alias("record"), (place if place is not None else F.lit(0)).cast("int").alias("place"))
+def _ord(kind: str, place: Column, part: Column | None = None) -> Column:
+    """A mention's turn: kind, record, place in the record, and part of what stands there."""
+    return F.struct(F.lit(ORDER.index(kind)).alias("kind"), F.col("raw_id").alias("record"), place.cast("int").alias("place"), (part if part is not None else F.lit(0)).cast("int").alias("part"))
 
 
 def _mentions(parsed: Mapping[str, DataFrame]) -> DataFrame:
@@ -65,8 +65,7 @@ def _mentions(parsed: Mapping[str, DataFrame]) -> DataFrame:
 def winner_mentions(contracts: DataFrame) -> DataFrame:
     """contracts with one row for each winner: ord, source_id, fiscal_number, name, county."""
     w = contracts.select("raw_id", "contract_id", "contract_date", "place", F.posexplode("winners").alias("i", "w"))
-    turn = F.struct(F.lit(ORDER.index("award-contracts:v1")).alias("kind"), F.col("raw_id").alias("record"), (F.col("place") * 1000 + F.col("i")).cast("int").alias("place"))
-    return w.select(turn.alias("ord"), "raw_id", "contract_id", "contract_date", F.col("w.entityId").alias("source_id"), F.col("w.fiscalNumber").alias("fiscal_number"), F.coalesce("w.address.officialName", "w.name", F.lit(UNKNOWN_NAME)).alias("name"), F.col("w.address.county.text").alias("county"))
+    return w.select(_ord("award-contracts:v1", F.col("place"), F.col("i")).alias("ord"), "raw_id", "contract_id", "contract_date", F.col("w.entityId").alias("source_id"), F.col("w.fiscalNumber").alias("fiscal_number"), F.coalesce("w.address.officialName", "w.name", F.lit(UNKNOWN_NAME)).alias("name"), F.col("w.address.county.text").alias("county"))
 
 
 def _entity_of(named: DataFrame, kind: str, place: int, column: str) -> DataFrame:

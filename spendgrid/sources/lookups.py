@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .paged import ask
 
@@ -17,10 +18,15 @@ from .paged import ask
 TAKE = 200
 
 
+def _with(rows: DataFrame, *more: str) -> StructType:
+    """The schema of rows and these string columns."""
+    return StructType([*rows.schema.fields, *(StructField(c, StringType()) for c in more)])
+
+
 def with_details(rows: DataFrame, url: str, key: str, deferred: Column | None = None, pause: float = 0.5) -> DataFrame:
     """rows with detail (the answer's JSON) and error, from url with {id} replaced by the key; rows that are deferred, and null keys, are not asked for."""
     wanted = rows.withColumn("_ask", F.col(key).isNotNull() & ~(F.coalesce(deferred, F.lit(False)) if deferred is not None else F.lit(False)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "detail string", "error string"])
+    schema = _with(rows, "detail", "error")
 
     def fetch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -52,7 +58,7 @@ def all_items(page: Callable[[int, int], dict], take: int = TAKE) -> list:
 
 def with_contracts(rows: DataFrame, url: str, key: str, take: int = TAKE, pause: float = 0.5) -> DataFrame:
     """rows with contracts (a JSON array of all of a notice's contracts, read page by page) and error."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "contracts string", "error string"])
+    schema = _with(rows, "contracts", "error")
 
     def fetch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

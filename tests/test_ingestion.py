@@ -120,3 +120,14 @@ def test_reports_and_coverage(spark):
     t = spark.createDataFrame([("Iași ", 30.0), ("IASI", 20.0), ("nowhere", 50.0)], "county string, total double")
     got = serving.coverage(t, spark.createDataFrame([("iasi", "Iași"), ("cluj", "Cluj")], "key string, label string")).collect()
     assert {(r.key, r.total, r.coverage) for r in got} == {("iasi", 50.0, 50.0), ("cluj", 0.0, 50.0)}
+
+
+def test_contracts_of_more_than_a_thousand_winners_keep_their_own(spark):
+    from spendgrid.operators import normalize
+
+    who = lambda a, n: [{"entityId": i, "name": f"w{i}"} for i in range(a, a + n)]
+    items = [{"caNoticeContractId": k, "caNoticeId": 1, "winners": who(a, n)} for k, a, n in ((1, 0, 1002), (2, 5000, 2), (3, 6000, 1))]
+    raw = spark.createDataFrame([(1, "award-contracts:v1", json.dumps({"caNoticeId": 1, "items": items}))], "raw_id long, endpoint_version string, payload string")
+    none = spark.createDataFrame([], "code string"), spark.createDataFrame([], "pattern string, unit string, factor double")
+    got = normalize.normalize(raw, *none, "award-contracts:v1").tables["contract_winners"]
+    assert {r.contract_id: r["count"] for r in got.groupBy("contract_id").count().collect()} == {1: 1002, 2: 2, 3: 1}
