@@ -12,7 +12,7 @@ from ..functions.text import external_number
 from ..functions import text as X
 from ..operators import flags, importing, normalize, serving, sinks
 from ..session import shared_folder, stored
-from ..sources import catalogs
+from ..sources import catalogs, paged
 from ..sources.views import MONEY, Views
 from ..streaming import cursors
 from .registry import DA, LIMITS, ORGS, half_up_sql, query
@@ -405,3 +405,36 @@ def cursor_commits(v: Views) -> DataFrame:
 def external_ids(v: Views) -> DataFrame:
     e = v.table("events").select("event_id", F.when(c("event_id") % 9 == 4, _text("da:x", c("event_id"))).otherwise(_text("da:", c("event_id"))).alias("x"))
     return e.select(c("event_id").alias("notice_id"), external_number(c("x")).alias("number"))
+
+
+@query("cursor_stream", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CAST((row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) - 1) // 200 AS INT) AS page, count(*) OVER (PARTITION BY date_trunc('day', ts)) AS reported FROM events")
+def cursor_stream(v: Views) -> DataFrame:
+    """The days of the events as a stream of paged lists, page by page under a cursor: the stream fails once between reading and committing, and a second one goes on
+    where the first left its checkpoint."""
+    folder, e = f"{shared_folder(v.spark)}/lists-{uuid.uuid4().hex}", v.table("events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    paged.record(e.select(day.alias("day"), c("event_id").alias("place"), F.to_json(F.struct("event_id", day.alias("at"))).alias("item")), f"{folder}/answers", 200)
+    first, last, pages = e.agg(F.min(day), F.max(day), F.greatest(F.ceil(F.count("*") / 200 / 5), lit(8))).first()
+    paged.register(v.spark)
+    lists = v.spark.readStream.format("paged_list").options(url=f"{folder}/answers", start=first, end=last, dateField="at", pageSize="200", pagesPerTrigger=str(pages), progress=f"{folder}/progress").load()
+
+    def drain(fail_at: int | None) -> None:
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+            if number == fail_at:
+                raise InterruptedError("between reading and committing")
+
+        query_ = lists.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").start()
+        try:
+            query_.processAllAvailable()
+        finally:
+            query_.stop()
+
+    try:
+        drain(1)
+    except Exception as failed:
+        if "between reading and committing" not in str(failed):
+            raise
+    drain(None)
+    out = v.spark.read.schema(f"{paged.COLUMNS}, batch int").parquet(f"{folder}/out")
+    return out.select(F.get_json_object("item", "$.event_id").cast("long").alias("event_id"), "day", "page", "reported")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .paged import ask
+from .http import ask
 
 #: Items that a source gives at most in one answer.
 TAKE = 200
