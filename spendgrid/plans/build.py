@@ -12,7 +12,7 @@ from ..functions.text import external_number
 from ..functions import text as X
 from ..operators import flags, importing, normalize, serving, sinks
 from ..session import shared_folder, stored
-from ..sources import catalogs, paged
+from ..sources import bson, catalogs, paged
 from ..sources.views import MONEY, Views
 from ..streaming import cursors
 from .registry import DA, LIMITS, ORGS, half_up_sql, query
@@ -438,3 +438,15 @@ def cursor_stream(v: Views) -> DataFrame:
     drain(None)
     out = v.spark.read.schema(f"{paged.COLUMNS}, batch int").parquet(f"{folder}/out")
     return out.select(F.get_json_object("item", "$.event_id").cast("long").alias("event_id"), "day", "page", "reported")
+
+
+@query("bson_split", "SELECT event_id AS _id, user_id, event_type AS kind, value FROM events WHERE user_id >= 40 AND event_type IN ('view', 'click', 'error')")
+def bson_split(v: Views) -> DataFrame:
+    """The events as a dump of many files, cut at any bytes into ranges whose tasks agree on their documents, and read with conditions that no other row passes."""
+    folder = f"{shared_folder(v.spark)}/dump-{uuid.uuid4().hex}"
+    nested = F.struct(c("props"), F.array(c("value"), lit(1.5)).alias("list"))
+    bson.write_dump(v.table("events").select(c("event_id").alias("_id"), "user_id", nested.alias("doc"), c("event_type").alias("kind"), "value"), f"{folder}/files")
+    bson.split_dump(v.spark, f"{folder}/files", f"{folder}/ranges", chunk=1 << 18)
+    bson.register(v.spark)
+    dump = v.spark.read.format("bson_dump").schema("_id long, user_id long, kind string, value double").option("ranges", f"{folder}/ranges").load(f"{folder}/files")
+    return dump.where("user_id >= 40 and kind in ('view', 'click', 'error')")
