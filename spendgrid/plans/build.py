@@ -12,7 +12,7 @@ from ..functions.text import external_number
 from ..functions import text as X
 from ..operators import flags, importing, normalize, serving, sinks
 from ..session import shared_folder, stored
-from ..sources import bson, catalogs, paged
+from ..sources import bson, catalogs, paged, versioned
 from ..sources.views import MONEY, Views
 from ..streaming import cursors
 from .registry import DA, LIMITS, ORGS, half_up_sql, query
@@ -450,3 +450,21 @@ def bson_split(v: Views) -> DataFrame:
     bson.register(v.spark)
     dump = v.spark.read.format("bson_dump").schema("_id long, user_id long, kind string, value double").option("ranges", f"{folder}/ranges").load(f"{folder}/files")
     return dump.where("user_id >= 40 and kind in ('view', 'click', 'error')")
+
+
+@query("archive_versions", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 1 ELSE 2 END AS version FROM events")
+def archive_versions(v: Views) -> DataFrame:
+    """Two batches of the events that overlap, appended to a transactional table by key, and a third that fails while it is written: the version that each event came with."""
+    folder, e = f"{shared_folder(v.spark)}/versions-{uuid.uuid4().hex}", v.table("events").select("event_id", "user_id", "value")
+    versioned.append_unique(e.where("event_id % 5 < 3"), folder, ["event_id"])
+    versioned.append_unique(e.where("event_id % 5 > 0"), folder, ["event_id"])
+    try:
+        broken = e.select((c("event_id") + F.when(c("value").isNotNull(), F.raise_error(lit("broken")).cast("long"))).alias("event_id"), "user_id", "value")
+        broken.write.format("versioned_table").mode("append").save(folder)
+    except Exception:  # noqa: BLE001  (that it leaves nothing is the point)
+        pass
+    parts = [versioned.read_version(v.spark, folder, n, after=n - 1).select("event_id", lit(n).alias("version")) for n in range(1, versioned.latest_version(folder) + 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
