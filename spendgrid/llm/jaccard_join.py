@@ -12,8 +12,8 @@ Jaccard similarity of at least t share a token among their first n - ceil(t * n)
   but one make up that many plus one. So two similar sets without a common rare token share two tokens of one
   class in their prefixes, and a set has about two combinations for each token that it may lack, however long it is.
 Each entry carries how many tokens a set cannot share with those that it meets there; two sets share at most what is left.
-Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, and only members
-of one entry that lie in different components are then compared with each other, if hashes of parts of their sets agree as those of similar
+Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, members of other
+components are compared with HUBS of the entry's largest one, and only members of one entry that lie in different components even then are compared with each other, if hashes of parts of their sets agree as those of similar
 sets must: copies never expand into pairs, and no link between components is lost."""
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import components, discard, materialize, mix, shingle_sets, slices,
 FREQUENT = 24
 #: Tokens of a combination.
 K = 2
+#: Members of an entry's largest component that those of other components meet first.
+HUBS = 8
 _RANGE = 1 << 52
 
 
@@ -265,25 +267,46 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     links = _verified(stars, texts, width, t, "stars")
     labels = components(links)
 
-    # members of one entry in different components: compare each with each, once
-    named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-    split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    # most combinations are common in a group of near copies; sets that share no signature are not similar all the same
+    # members of one entry in different components. Most combinations are common in a group of near copies; sets that share no signature are not similar all the same
     marked = materialize(_signatures(reps.join(small(still), "doc_id", "left_semi"), width, t), "signatures", compression="zstd")
-    mixed = materialize(named.join(split, "token", "left_semi").join(marked, "doc_id", "left").select("token", "doc_id", "n", "u", "c", "signatures"), "mixed", compression="zstd")
-    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
     alike = F.coalesce(F.arrays_overlap("signatures1", "signatures2"), F.lit(True))
-    # of each entry, members outside its largest component meet all others: its own members never meet each other
-    largest = mixed.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", "c")).alias("largest"))
-    outside = side("1").join(materialize(largest, "largest"), "token").where("c1 != largest")
+
+    def apart(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members of the entries that hold several components, the largest component of each such entry)."""
+        named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+        split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+        mixed = materialize(named.join(split, "token", "left_semi").join(marked, "doc_id", "left").select("token", "doc_id", "n", "u", "c", "signatures"), "mixed", compression="zstd")
+        return mixed, materialize(mixed.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", "c")).alias("largest")), "largest")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        fine = pairs.where(F.col("c1") != F.col("c2")).where(fits("1", "2")).where(alike)
+        return fine.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
+
+    # first they meet HUBS members of the entry's largest component: who links with one of them need not meet the others
+    mixed, largest = apart(labels)
+    inside = mixed.join(largest, "token").where("c = largest")
+    draws = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), *(F.col(x) for x in ("doc_id", "n", "u", "c", "signatures")))) for i in range(HUBS)]
+    hubs = inside.groupBy("token").agg(F.array_distinct(F.array(*(d["doc_id"] for d in draws))).alias("ids"))
+    hubs = inside.join(hubs.select("token", F.explode("ids").alias("doc_id")), ["token", "doc_id"]).drop("largest")
+    outside = mixed.join(largest, "token").where("c != largest").drop("largest")
+    tried = materialize(met(side(outside, "1").join(side(hubs, "2"), "token")).join(stars, ["a", "b"], "left_anti"), "tried")
+    joined = _verified(tried, texts, width, t, "tried")
+    labels = components(links.unionByName(joined))
+    discard(mixed, largest)
+
+    # then those outside the largest component, whose own members never meet each other, meet all others, once
+    mixed, largest = apart(labels)
+    outside = side(mixed, "1").join(largest, "token").where("c1 != largest")
     once = (F.col("c2") == F.col("largest")) | (F.col("doc_id1") < F.col("doc_id2"))
-    rest = outside.join(side("2"), "token").where((F.col("c1") != F.col("c2")) & once).where(fits("1", "2")).where(alike)
-    rest = rest.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = met(outside.join(side(mixed, "2"), "token").where(once))
+    rest = materialize(rest.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, width, t, "rest")
-    labels = components(copies.unionByName(links).unionByName(more))
+    labels = components(copies.unionByName(links).unionByName(joined).unionByName(more))
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, hard_common, classes, marked, index, entries, mixed, stars, rest)
+    discard(common, hard_common, classes, marked, index, entries, mixed, largest, stars, tried, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
