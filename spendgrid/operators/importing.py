@@ -81,9 +81,13 @@ def load_acquisitions(dump: DataFrame, links: DataFrame, catalog: DataFrame) ->
     known = links.where("namespace = 'authority'").select(F.col("source_id").alias("_source"), F.col("entity_key").alias("_linked"))
     d = d.join(known, "_source", "left")
 
+    # one step for each, as an expression that holds a code as often as its check reads it grows beyond what is compiled
+    d = d.withColumns({f"_token_{s}": token[s] for s in raw})
+    d = d.withColumns({f"_own_{s}": X.fiscal_code(F.col(f"_token_{s}")) for s in raw})
+    d = d.withColumns({f"_valid_{s}": X.fiscal_code_valid(F.col(f"_own_{s}")) for s in raw})
+
     def by_code(side: str) -> Column:
-        code = X.fiscal_code(token[side])
-        return F.when(X.fiscal_code_valid(code), code_key(code)).when(token[side].isNotNull(), F.concat(F.lit("raw:"), F.sha2(raw[side], 256)))
+        return F.when(F.col(f"_valid_{side}"), code_key(F.col(f"_own_{side}"))).when(F.col(f"_token_{side}").isNotNull(), F.concat(F.lit("raw:"), F.sha2(raw[side], 256)))
 
     authority = F.coalesce("_linked", id_key("authority", F.col("_source")), by_code("authority"))
     code = X.cpv_code(F.col("cpvCode"))

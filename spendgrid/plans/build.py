@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import minute_text
 from ..functions.text import external_number
 from ..functions import text as X
-from ..operators import flags, importing, normalize, serving, sinks
+from ..operators import flags, importing, merge, normalize, serving, silver, sinks
 from ..session import shared_folder, stored
 from ..sources import bson, catalogs, paged, versioned
 from ..sources.views import MONEY, Views
@@ -158,8 +158,6 @@ def normalize_source_ids(v: Views) -> DataFrame:
 
 @query("entity_resolution", f"WITH o AS (SELECT *, CAST(entity_id + 100 AS VARCHAR) AS code FROM {ORGS}), m AS (SELECT *, {_checked('code')} AS ok, entity_id * 2 + CASE WHEN role = 'supplier' THEN 1 ELSE 0 END AS ord FROM o) SELECT CASE WHEN ok THEN 'code:' || code ELSE 'id:' || role || ':' || entity_id END AS entity_key, CASE WHEN bool_or(ok) THEN min(code) END AS code, bool_or(ok) AS code_valid, arg_min(name, ord) AS name, arg_min(county, ord) AS county, CAST(count(DISTINCT entity_id) AS INT) AS ids FROM m GROUP BY 1")
 def entity_resolution(v: Views) -> DataFrame:
-    from ..operators import silver
-
     o = v.organisations
     m = o.select((c("entity_id") * 2 + (c("role") == "supplier").cast("int")).alias("ord"), c("role").alias("namespace"), c("entity_id").alias("source_id"), _text("RO", c("entity_id") + 100).alias("code_raw"), "name", "county", lit(None).cast("timestamp").alias("seen_at"))
     organisations, _ = silver.resolve_organisations(m)
@@ -468,3 +466,21 @@ def archive_versions(v: Views) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query("merged_acquisitions", f"SELECT o_orderkey AS da_id, CASE WHEN o_orderkey % 3 = 0 THEN '45000000-7' WHEN NOT ({_EVEN}) AND o_orderkey % 3 = 1 THEN '99999999-9' END AS cpv_code, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN {_EVEN} THEN 5 ELSE 0 END AS DOUBLE) AS closing, 'S.C. Furnizor ' || (o_custkey % 50) AS supplier, CASE WHEN {_EVEN} THEN o_orderpriority END AS acquisition_type, o_orderkey * 2 + CASE WHEN {_EVEN} THEN 1 ELSE 0 END AS raw_id FROM orders")
+def merged_acquisitions(v: Views) -> DataFrame:
+    """Acquisition lists and details in three batches, details first, one batch twice, merged on read over a base that was made after the second."""
+    raw = stored(_acquisitions(v), "raw")
+    rows = silver.acquisitions_of(silver.parsed(raw, "da-list:v1"), "da-list:v1").unionByName(silver.acquisitions_of(silver.parsed(raw, "da-detail:v1"), "da-detail:v1"))
+    parts = {"header": ["cpv_code", "closing", "raw_id"], "parties": ["supplier"], "detail": ["acquisition_type"]}
+    t = merge.MergedTable(v.spark, f"{shared_folder(v.spark)}/merged-{uuid.uuid4().hex}", ["da_id"], parts, ["turn"], buckets=8)
+    rows = rows.withColumn("turn", c("raw_id"))
+    sets = {"parties": c("kind") == "list", "detail": c("kind") == "detail"}
+    batch = {"details": rows.where("kind = 'detail'"), "some": rows.where("kind = 'list' and da_id % 4 < 2"), "rest": rows.where("kind = 'list' and da_id % 4 >= 2")}
+    for name in ("details", "some"):
+        t.append(batch[name], name, sets)
+    t.compact()
+    for name in ("rest", "some"):
+        t.append(batch[name], name, sets)
+    return t.read().select("da_id", "cpv_code", dbl("closing"), "supplier", "acquisition_type", "raw_id")
