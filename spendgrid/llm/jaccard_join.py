@@ -18,6 +18,7 @@ sets must: copies never expand into pairs, and no link between components is los
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -275,11 +276,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
         """(members of the entries that hold several components, the largest component of each such entry)."""
         named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
         split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-        mixed = materialize(named.join(split, "token", "left_semi").join(marked, "doc_id", "left").select("token", "doc_id", "n", "u", "c", "signatures"), "mixed", compression="zstd")
+        mixed = materialize(named.join(split, "token", "left_semi").select("token", "doc_id", "n", "u", "c"), "mixed", compression="zstd")
         return mixed, materialize(mixed.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", "c")).alias("largest")), "largest")
 
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
+    def with_parts(rows: DataFrame, s: str) -> DataFrame:
+        signed = rows.join(marked, "doc_id", "left")
+        return signed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
 
     def met(pairs: DataFrame) -> DataFrame:
         fine = pairs.where(F.col("c1") != F.col("c2")).where(fits("1", "2")).where(alike)
@@ -288,25 +290,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     # first they meet HUBS members of the entry's largest component: who links with one of them need not meet the others
     mixed, largest = apart(labels)
     inside = mixed.join(largest, "token").where("c = largest")
-    draws = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), *(F.col(x) for x in ("doc_id", "n", "u", "c", "signatures")))) for i in range(HUBS)]
-    hubs = inside.groupBy("token").agg(F.array_distinct(F.array(*(d["doc_id"] for d in draws))).alias("ids"))
-    hubs = inside.join(hubs.select("token", F.explode("ids").alias("doc_id")), ["token", "doc_id"]).drop("largest")
+    draw = [F.xxhash64("doc_id", F.lit(i)) for i in range(HUBS)]
+    drawn = inside.groupBy("token").agg(*(F.min(d).alias(f"h{i}") for i, d in enumerate(draw)))
+    picked = functools.reduce(lambda x, y: x | y, (d == F.col(f"h{i}") for i, d in enumerate(draw)))
+    hubs = inside.join(drawn, "token").where(picked).select("token", "doc_id", "n", "u", "c")
     outside = mixed.join(largest, "token").where("c != largest").drop("largest")
-    tried = materialize(met(side(outside, "1").join(side(hubs, "2"), "token")).join(stars, ["a", "b"], "left_anti"), "tried")
+    tried = materialize(met(with_parts(outside, "1").join(with_parts(hubs, "2"), "token")).join(stars, ["a", "b"], "left_anti"), "tried")
     joined = _verified(tried, texts, width, t, "tried")
     labels = components(links.unionByName(joined))
     discard(mixed, largest)
 
     # then those outside the largest component, whose own members never meet each other, meet all others, once
     mixed, largest = apart(labels)
-    outside = side(mixed, "1").join(largest, "token").where("c1 != largest")
+    signed = materialize(with_parts(mixed, ""), "signed", compression="zstd")
+    side = lambda s: signed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
+    outside = side("1").join(largest, "token").where("c1 != largest")
     once = (F.col("c2") == F.col("largest")) | (F.col("doc_id1") < F.col("doc_id2"))
-    rest = met(outside.join(side(mixed, "2"), "token").where(once))
+    rest = met(outside.join(side("2"), "token").where(once))
     rest = materialize(rest.join(stars.unionByName(tried), ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, width, t, "rest")
     labels = components(copies.unionByName(links).unionByName(joined).unionByName(more))
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, hard_common, classes, marked, index, entries, mixed, largest, stars, tried, rest)
+    discard(common, hard_common, classes, marked, index, entries, mixed, largest, signed, stars, tried, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
