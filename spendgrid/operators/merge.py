@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +16,30 @@ from pyspark.sql import functions as F
 from ..sources import versioned
 
 
+@dataclass(frozen=True)
+class Part:
+    """Columns that are set together; the value of the last row by the order counts, or of the first one."""
+
+    columns: Sequence[str]
+    order: Sequence[str]
+    first: bool = False
+
+
 class MergedTable:
     """A keyed table in a folder that driver and executors share.
 
-    parts names each group of columns; rows given to append() tell with conditions which parts they set. buckets is fixed when the table is made: about one for each 128 MB that it may grow to."""
+    parts names each group of columns (a Part, or columns under the table's order); rows given to append() tell with conditions which parts they set. collected names columns whose distinct
+    values add up. buckets is fixed when the table is made: about one for each 128 MB that it may grow to."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], parts: Mapping[str, Sequence[str]], order: Sequence[str], buckets: int = 16):
-        self.spark, self.folder, self.key, self.order = spark, folder.rstrip("/"), list(key), list(order)
-        self.parts, self.buckets = {p: list(c) for p, c in parts.items()}, buckets
+    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], parts: Mapping[str, Sequence[str] | Part], order: Sequence[str] = (), buckets: int = 16, collected: Mapping[str, str] | None = None):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), list(key)
+        self.parts = {p: c if isinstance(c, Part) else Part(list(c), list(order)) for p, c in parts.items()}
+        self.buckets, self.collected = buckets, dict(collected or {})
 
     # ---- what is there
 
-    def _state(self) -> dict:
-        n = versioned.latest_version(self.folder)
+    def _state(self, version: int | None = None) -> dict:
+        n = versioned.latest_version(self.folder) if version is None else version
         return versioned.manifest(self.folder, n) | {"version": n} if n else {"base": None, "changes": {}, "version": 0}
 
     def _bucketed(self, path: str, schema: str) -> DataFrame:
@@ -48,8 +60,12 @@ class MergedTable:
     def combined(self, rows: DataFrame, sets: Mapping[str, Column] | None = None) -> DataFrame:
         """One row a key: of each part the last value and its order, null where no row sets it; rows of null keys are left out."""
         on = {p: (sets or {}).get(p, F.lit(True)) for p in self.parts}
-        turn = F.struct(*self.order)
-        aggs = [F.max_by(F.when(on[p], F.struct(turn.alias("o"), F.struct(*c).alias("v"))), F.when(on[p], turn)).alias(p) for p, c in self.parts.items()]
+        aggs = []
+        for p, part in self.parts.items():
+            turn = F.struct(*(F.col(x).alias(f"o{i}") for i, x in enumerate(part.order)))
+            best = F.min_by if part.first else F.max_by
+            aggs.append(best(F.when(on[p], F.struct(turn.alias("o"), F.struct(*part.columns).alias("v"))), F.when(on[p], turn)).alias(p))
+        aggs += [F.array_sort(F.collect_set(x)).alias(name) for name, x in self.collected.items()]
         known = rows
         for k in self.key:
             known = known.where(F.col(k).isNotNull())
@@ -74,9 +90,9 @@ class MergedTable:
 
     # ---- reading
 
-    def merged(self) -> DataFrame:
-        """One row a key with its parts as (order, value)."""
-        state = self._state()
+    def merged(self, version: int | None = None) -> DataFrame:
+        """One row a key with its parts as (order, value), as of a version (by default the last)."""
+        state = self._state(version)
         if not state["version"]:
             raise FileNotFoundError(f"{self.folder} holds no version yet")
         return self._merged(state)
@@ -87,17 +103,33 @@ class MergedTable:
         changes = self.spark.read.schema(schema).parquet(*state["changes"].values()) if state["changes"] else None
         if changes is None:
             return base if base is not None else self._empty(schema)
-        late = changes.groupBy(*self.key).agg(*(F.max_by(p, F.col(p)["o"]).alias(p) for p in self.parts))
+        best = [(F.min_by if part.first else F.max_by)(p, F.col(p)["o"]).alias(p) for p, part in self.parts.items()]
+        late = changes.groupBy(*self.key).agg(*best, *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name) for name in self.collected))
         if base is None:
             return late
-        new = late.select(*(F.col(k).alias(f"_{k}") for k in self.key), *(F.col(p).alias(f"_{p}") for p in self.parts)).repartition(self.buckets, *(F.col(f"_{k}") for k in self.key))
+        held = [*self.parts, *self.collected]
+        new = late.select(*(F.col(k).alias(f"_{k}") for k in self.key), *(F.col(p).alias(f"_{p}") for p in held)).repartition(self.buckets, *(F.col(f"_{k}") for k in self.key))
         both = base.join(new, [F.col(k) == F.col(f"_{k}") for k in self.key], "full")
-        last = lambda p: F.when(F.col(f"_{p}").isNull(), F.col(p)).when(F.col(p).isNull() | (F.col(f"_{p}")["o"] >= F.col(p)["o"]), F.col(f"_{p}")).otherwise(F.col(p)).alias(p)
-        return both.select(*(F.coalesce(k, f"_{k}").alias(k) for k in self.key), *(last(p) for p in self.parts))
+
+        def chosen(p: str) -> Column:
+            old, late_ = F.col(p), F.col(f"_{p}")
+            wins = late_["o"] < old["o"] if self.parts[p].first else late_["o"] >= old["o"]
+            return F.when(late_.isNull(), old).when(old.isNull() | wins, late_).otherwise(old).alias(p)
+
+        sets = (F.array_sort(F.array_union(F.coalesce(name, f"_{name}"), F.coalesce(f"_{name}", name))).alias(name) for name in self.collected)
+        return both.select(*(F.coalesce(k, f"_{k}").alias(k) for k in self.key), *map(chosen, self.parts), *sets)
+
+    def changes(self, since: int) -> DataFrame:
+        """What batches brought after a version, by key and batch."""
+        known, paths = set(self._state(since)["changes"].values()), {}
+        for n in range(since + 1, versioned.latest_version(self.folder) + 1):
+            paths |= dict.fromkeys(p for p in self._state(n)["changes"].values() if p not in known)
+        schema = self._state()["schema"]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self._empty(schema)
 
     def read(self) -> DataFrame:
         """The keys with the columns of all parts."""
-        return self.merged().select(*self.key, *(F.col(p)["v"][c].alias(c) for p, cols in self.parts.items() for c in cols))
+        return self.merged().select(*self.key, *(F.col(p)["v"][c].alias(c) for p, part in self.parts.items() for c in part.columns), *self.collected)
 
     def compact(self) -> int:
         """Write base and changes as the next base; changes that come meanwhile stay changes. Returns the version."""

@@ -114,13 +114,17 @@ def named_mentions(mentions: DataFrame) -> DataFrame:
     m = m.withColumn("valid", X.fiscal_code_valid(F.col("code")))
     ids = m.where("source_id is not null").groupBy("namespace", "source_id").agg(F.min_by("code", F.when(F.col("valid"), F.col("ord"))).alias("owned"))
     named = m.join(ids, ["namespace", "source_id"], "left")
-    key = (
-        F.when(F.col("owned").isNotNull(), F.concat(F.lit("code:"), "owned"))
+    return named.withColumn("entity_key", named_key(F.col("owned")))
+
+
+def named_key(owned: Column) -> Column:
+    """What names the organisation of a mention (namespace, source_id, code, valid, code_raw, name), given the code that its id owns."""
+    return (
+        F.when(owned.isNotNull(), F.concat(F.lit("code:"), owned))
         .when(F.col("source_id").isNotNull(), F.concat_ws(":", F.lit("id"), F.col("namespace"), F.col("source_id").cast("string")))
         .when(F.col("valid"), F.concat(F.lit("code:"), "code"))
         .otherwise(F.concat(F.lit("raw:"), F.sha2(F.concat_ws(" ", "code_raw", "name"), 256)))
     )
-    return named.withColumn("entity_key", key)
 
 
 def organisations_of(named: DataFrame) -> tuple[DataFrame, DataFrame]:

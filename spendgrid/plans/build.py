@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import minute_text
 from ..functions.text import external_number
 from ..functions import text as X
-from ..operators import flags, importing, merge, normalize, serving, silver, sinks
+from ..operators import flags, importing, merge, normalize, resolution, serving, silver, sinks
 from ..session import shared_folder, stored
 from ..sources import bson, catalogs, paged, versioned
 from ..sources.views import MONEY, Views
@@ -484,3 +484,23 @@ def merged_acquisitions(v: Views) -> DataFrame:
     for name in ("rest", "some"):
         t.append(batch[name], name, sets)
     return t.read().select("da_id", "cpv_code", dbl("closing"), "supplier", "acquisition_type", "raw_id")
+
+
+_MENTIONS = f"(SELECT o_orderkey * 4 AS ord, 'authority' AS ns, o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'RO' || (o_custkey + 100) END AS raw, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey + 100 AS VARCHAR) END AS code, 'Customer ' || o_custkey AS name, CAST(o_orderdate AS DATE) AS seen FROM orders UNION ALL SELECT l_orderkey * 4 + 1, 'supplier', l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'RO ' || (l_suppkey + 100) END, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey + 100 AS VARCHAR) END, 'Supplier ' || l_suppkey, CAST(l_shipdate AS DATE) FROM lineitem WHERE l_linenumber <= 2)"
+
+
+@query("resolution_batches", f"WITH m AS (SELECT *, code IS NOT NULL AND {_checked('code')} AS ok FROM {_MENTIONS}), o AS (SELECT ns, id, bool_or(ok) AS owns, min(code) AS own FROM m GROUP BY ns, id), k AS (SELECT m.*, CASE WHEN owns THEN 'code:' || own ELSE 'id:' || ns || ':' || id END AS entity_key FROM m JOIN o USING (ns, id)) SELECT entity_key, bool_or(ok) AS code_valid, arg_min(name, ord) AS name, strftime(min(seen), '%Y-%m-%d') AS first_seen, strftime(max(seen), '%Y-%m-%d') AS last_seen, array_to_string(list_sort(list(DISTINCT id)), ',') AS source_ids, coalesce(array_to_string(list_sort(list(DISTINCT raw) FILTER (WHERE raw IS NOT NULL)), '|'), '') AS code_variants FROM k GROUP BY entity_key")
+def resolution_batches(v: Views) -> DataFrame:
+    """Organisations of order and line mentions, resolved in three batches that come in no order, with a base made in between: codes, names, days, ids and variants."""
+    o, i = v.table("orders"), v.table("lineitem").where("l_linenumber <= 2")
+    none = lit(None).cast("string")
+    k, s = c("o_custkey"), c("l_suppkey")
+    a = o.select((c("o_orderkey") * 4).alias("ord"), lit("authority").alias("namespace"), k.alias("source_id"), F.when(c("o_orderkey") % 3 == 0, _text("RO", k + 100)).alias("code_raw"), _text("Customer ", k).alias("name"), none.alias("county"), c("o_orderdate").cast("timestamp").alias("seen_at"))
+    b = i.select((c("l_orderkey") * 4 + 1).alias("ord"), lit("supplier").alias("namespace"), s.alias("source_id"), F.when(c("l_linenumber") % 2 == 0, _text("RO ", s + 100)).alias("code_raw"), _text("Supplier ", s).alias("name"), none.alias("county"), c("l_shipdate").cast("timestamp").alias("seen_at"))
+    m, r = a.unionByName(b), resolution.Resolution(v.spark, f"{shared_folder(v.spark)}/resolution-{uuid.uuid4().hex}", buckets=8)
+    for turn in (2, 0, 1):
+        r.append(m.where(F.floor(c("ord") / 4) % 3 == turn), f"batch {turn}")
+        if turn == 0:
+            r.compact()
+    day = lambda x: F.date_format(x, "yyyy-MM-dd").alias(x)
+    return r.organisations().select("entity_key", "code_valid", "name", day("first_seen"), day("last_seen"), F.array_join(c("source_ids").cast("array<string>"), ",").alias("source_ids"), F.array_join("code_variants", "|").alias("code_variants"))
