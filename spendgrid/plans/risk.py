@@ -14,7 +14,7 @@ from ..operators import flags, search, serving, silver, treemap
 from ..sources import bson, catalogs
 from ..session import shared_folder
 from ..sources.views import Views
-from ..streaming import incremental
+from ..streaming import incremental, stateful
 from .registry import DA, LIMITS, ORGS, da_id, half_up_sql, query
 from .relational import big, dbl
 
@@ -361,3 +361,23 @@ def event_sliding(v: Views) -> DataFrame:
 def event_session(v: Views) -> DataFrame:
     s = incremental.sessions(v.notices.withColumnRenamed("state_date", "ts"), "ts", "6 hours", "user_id")
     return s.select("user_id", D.minute_text(F.col("start")).alias("start"), "n")
+
+
+@query("state_transitions", "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, before, event_type AS state FROM (SELECT *, lag(event_type) OVER w AS before, lag(ts) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE last IS NOT NULL AND event_type IS DISTINCT FROM before AND ts <= last + INTERVAL 45 DAY")
+def state_transitions(v: Views) -> DataFrame:
+    """The states of each user's notices as a stream with a value and a timer a user: every change of state within 45 days."""
+    with stateful.with_state_store(v.spark):
+        return _drained(v, stateful.transitions(_arriving(v), "user_id", "ts", "event_id", "event_type"), "transitions").select("key", "id", "before", "state")
+
+
+@query("correction_stream", "SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) WHERE i = 1 AND event_type = 'error'")
+def correction_stream(v: Views) -> DataFrame:
+    """Corrections that are open, from the stream of latest rows: the last word on each user of 30 days."""
+    with stateful.with_state_store(v.spark):
+        folder = f"{shared_folder(v.spark)}/latest-{uuid.uuid4().hex}"
+        write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/{n}")
+        recent = stateful.latest_rows(_arriving(v), "user_id", "ts", "event_id", "event_type", days=30)
+        recent.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    said = v.spark.read.parquet(f"{folder}/out/*")
+    last = said.groupBy("key").agg(F.max_by(F.struct("id", "at", "state"), F.struct("batch", "at")).alias("r"))
+    return last.where(F.col("r.at") > F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(F.lit(30))).where("r.state = 'error'").select("key", F.col("r.id").alias("id"))
