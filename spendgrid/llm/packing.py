@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keeps_sp
         enc, task = encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, target=1 << 22):
+            for part in slices(batch, target=1 << 21):
                 ids, per = with_end(*enc.encode(part.column(1)), end_id)
                 many = -(-per // capacity)
                 doc = np.repeat(np.arange(len(per)), many)
