@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import minute_text
 from ..functions.text import external_number
 from ..functions import text as X
-from ..operators import flags, importing, merge, normalize, resolution, serving, silver, sinks
+from ..operators import asof, flags, importing, merge, normalize, resolution, serving, silver, sinks
 from ..session import shared_folder, stored
 from ..sources import bson, catalogs, paged, versioned
 from ..sources.views import MONEY, Views
@@ -504,3 +504,33 @@ def resolution_batches(v: Views) -> DataFrame:
             r.compact()
     day = lambda x: F.date_format(x, "yyyy-MM-dd").alias(x)
     return r.organisations().select("entity_key", "code_valid", "name", day("first_seen"), day("last_seen"), F.array_join(c("source_ids").cast("array<string>"), ",").alias("source_ids"), F.array_join("code_variants", "|").alias("code_variants"))
+
+
+@query("asof_periods", "SELECT f.l_suppkey AS supplier_id, count(*) AS n, count(p.q) AS known, CAST(sum(p.q) AS DOUBLE) AS total FROM lineitem f ASOF LEFT JOIN (SELECT l_suppkey AS k, l_shipdate AS a, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) p ON f.l_suppkey = p.k AND f.l_shipdate >= p.a GROUP BY 1")
+def asof_periods(v: Views) -> DataFrame:
+    """Every line with the quantity that its supplier's last returned line by then set: two large sides, no range join."""
+    lines = v.table("lineitem")
+    periods = lines.where("l_returnflag = 'R'").select(c("l_suppkey").alias("supplier_id"), c("l_shipdate").alias("since"), c("l_quantity").alias("quantity"))
+    facts = lines.select(c("l_suppkey").alias("supplier_id"), c("l_shipdate").alias("day"))
+    t = asof.asof_join(facts, periods, ["supplier_id"], "day", "since", ["quantity"])
+    return t.groupBy("supplier_id").agg(F.count("*").alias("n"), F.count("quantity").alias("known"), F.sum("quantity").cast("double").alias("total"))
+
+
+@query("recorded_thresholds", "WITH t AS (SELECT o_orderpriority AS key, date_trunc('month', o_orderdate) AS a, max(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY 1, 2) SELECT key, CAST(arg_max(v, a) AS DOUBLE) AS latest, CAST(max(v) FILTER (WHERE a = TIMESTAMP '1996-06-01') AS DOUBLE) AS june FROM t GROUP BY key")
+def recorded_thresholds(v: Views) -> DataFrame:
+    """Thresholds recorded month by month from the orders, written and read: the latest of each key, and the one in force on a day."""
+    month = F.date_trunc("month", "o_orderdate")
+    t = v.table("orders").groupBy(c("o_orderpriority").alias("key"), month.alias("valid_from")).agg(F.max(c("o_totalprice").cast(MONEY)).alias("value_num")).withColumn("valid_to", F.add_months("valid_from", 1).cast("timestamp"))
+    t = stored(t, "thresholds")
+    then = flags.thresholds_at(t, lit("1996-06-15").cast("timestamp")).select("key", dbl("value_num").alias("june"))
+    return flags.thresholds_at(t).select("key", dbl("value_num").alias("latest")).join(then, "key", "left")
+
+
+@query("ancestor_table", "WITH RECURSIVE t AS (SELECT 'u' || user_id || '-' || i AS code, CASE WHEN i > 0 THEN 'u' || user_id || '-' || (i // 2 * 2 - CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END) END AS parent FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) WHERE i < 40), up AS (SELECT code, code AS ancestor, 0 AS depth FROM t UNION ALL SELECT up.code, t.parent, up.depth + 1 FROM up JOIN t ON t.code = up.ancestor WHERE t.parent IS NOT NULL) SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(max(depth) AS BIGINT) AS depth, min(ancestor) AS first FROM up GROUP BY 1")
+def ancestor_table(v: Views) -> DataFrame:
+    """Chains and forks of each user's first forty events as a tree of some twenty levels: all ancestors of each node, by doubling."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = v.table("events").select("user_id", i.alias("i")).where("i < 40")
+    up = F.floor(c("i") / 2) * 2 - (c("i") % 2 == 0).cast("long")
+    tree = e.select(_text("u", c("user_id"), "-", c("i")).alias("code"), F.when(c("i") > 0, _text("u", c("user_id"), "-", up.cast("long"))).alias("parent_code"))
+    return asof.ancestors(tree).groupBy("code").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("first"))
