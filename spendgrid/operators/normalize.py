@@ -83,9 +83,13 @@ def normalize(raw: DataFrame, catalog: DataFrame, units: DataFrame, only: str |
     kinds = [k for k in ORDER if only in (None, k)]
     good, bad = {}, []
     for k in kinds:
-        fine, broken = sinks.quarantine(silver.parsed(raw, k), silver.natural_key(k).isNull(), F.when(F.get_json_object("payload", "$").isNull(), "payload is no JSON").otherwise(F.concat(F.lit("no "), F.lit(silver.KEYS[k]))))
-        good[k] = fine
-        bad.append(broken.select("raw_id", "endpoint_version", "reason", "excerpt"))
+        # each payload is parsed once, whatever reads the table of its kind
+        why = F.when(F.get_json_object("payload", "$").isNull(), "payload is no JSON").otherwise(F.concat(F.lit("no "), F.lit(silver.KEYS[k])))
+        lost = silver.natural_key(k).isNull()
+        both = silver.parsed(raw, k).select("raw_id", "endpoint_version", F.when(~lost, F.col("p")).alias("p"), F.when(lost, why).alias("reason"), F.when(lost, F.substring("payload", 1, 2000)).alias("excerpt"))
+        both = stored(both, "parsed")
+        good[k] = both.where("reason is null").select("raw_id", "endpoint_version", "p")
+        bad.append(both.where("reason is not null").select("raw_id", "endpoint_version", "reason", "excerpt"))
     out = Silver(quarantine=_union(bad))
     named = stored(silver.named_mentions(_mentions(good)), "mentions")
     out.tables["organisations"], out.tables["conflicts"] = silver.organisations_of(named)

@@ -131,3 +131,18 @@ def test_contracts_of_more_than_a_thousand_winners_keep_their_own(spark):
     none = spark.createDataFrame([], "code string"), spark.createDataFrame([], "pattern string, unit string, factor double")
     got = normalize.normalize(raw, *none, "award-contracts:v1").tables["contract_winners"]
     assert {r.contract_id: r["count"] for r in got.groupBy("contract_id").count().collect()} == {1: 1002, 2: 2, 3: 1}
+
+
+def test_payloads_are_parsed_once(spark, monkeypatch):
+    """One table for each kind holds what its payloads say; no result parses again."""
+    from spendgrid.operators import normalize
+    from spendgrid.plans import build
+    from spendgrid.sources.views import Views
+
+    v, names = Views(spark, "/root/testdata/sf0.001"), []
+    real = normalize.stored
+    monkeypatch.setattr(normalize, "stored", lambda df, name: names.append(name) or real(df, name))
+    s = normalize.normalize(build._acquisitions(v), build._catalog(v), build._units(v))
+    assert names.count("parsed") == len(normalize.ORDER)
+    for df in (*s.tables.values(), s.quarantine, s.report):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
