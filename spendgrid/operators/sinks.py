@@ -5,8 +5,9 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,9 +75,26 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{version}")
 
 
+def publish_observed(df: DataFrame, folder: str, **metrics: Column) -> dict:
+    """publish(), and what the job saw while it wrote: the version with the values of metrics (aggregates by name); no second pass over the rows."""
+    seen = Observation(f"published-{uuid.uuid4().hex}")
+    version = publish(df.observe(seen, *(m.alias(name) for name, m in metrics.items())), folder)
+    return {"version": version, **seen.get}
+
+
 LEDGER = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("started", T.TimestampType()), T.StructField("finished", T.TimestampType()), T.StructField("reported", T.LongType()), T.StructField("fetched", T.LongType())])
 
 
+def record_run(spark: SparkSession, folder: str, run_id: str, source: str, df: DataFrame, ledger: str, reported: int | None = None, clock=lambda: datetime.now(UTC)) -> dict:
+    """Publish df as a run of a source and append its row to the ledger (a Parquet table): when it started and finished, how many rows the source reported and how many were written,
+    as counted by the writing job itself."""
+    started = clock()
+    told = publish_observed(df, folder, fetched=F.count(F.lit(1)))
+    row = (run_id, source, started, clock(), reported, told["fetched"])
+    spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+    return told
+
+
 def with_deviation(ledger: DataFrame) -> DataFrame:
     """Runs with reported - fetched; null where the source reported no total."""
     return ledger.withColumn("deviation", F.col("reported") - F.col("fetched"))

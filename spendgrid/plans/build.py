@@ -534,3 +534,13 @@ def ancestor_table(v: Views) -> DataFrame:
     up = F.floor(c("i") / 2) * 2 - (c("i") % 2 == 0).cast("long")
     tree = e.select(_text("u", c("user_id"), "-", c("i")).alias("code"), F.when(c("i") > 0, _text("u", c("user_id"), "-", up.cast("long"))).alias("parent_code"))
     return asof.ancestors(tree).groupBy("code").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("first"))
+
+
+@query("observed_runs", "SELECT run_id, source, CAST(reported AS BIGINT) AS reported, CAST(fetched AS BIGINT) AS fetched, CAST(reported - fetched AS BIGINT) AS deviation FROM (SELECT 'run ' || o_orderstatus AS run_id, 'orders' AS source, count(*) AS reported, count(*) FILTER (WHERE o_orderkey % 7 <> 3) AS fetched FROM orders GROUP BY 1)")
+def observed_runs(v: Views) -> DataFrame:
+    """A run for each status of the orders, written without some rows: what the ledger was told by the jobs that wrote, against what the source reports."""
+    folder, o = f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}", v.table("orders")
+    told = o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).collect()  # a row a status
+    for status, n in told:
+        sinks.record_run(v.spark, f"{folder}/{status}", f"run {status}", "orders", o.where((c("o_orderstatus") == status) & (c("o_orderkey") % 7 != 3)), f"{folder}/ledger", reported=n)
+    return sinks.with_deviation(v.spark.read.schema(sinks.LEDGER).parquet(f"{folder}/ledger")).select("run_id", "source", "reported", "fetched", "deviation")

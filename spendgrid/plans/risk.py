@@ -381,3 +381,14 @@ def correction_stream(v: Views) -> DataFrame:
     said = v.spark.read.parquet(f"{folder}/out/*")
     last = said.groupBy("key").agg(F.max_by(F.struct("id", "at", "state"), F.struct("batch", "at")).alias("r"))
     return last.where(F.col("r.at") > F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(F.lit(30))).where("r.state = 'error'").select("key", F.col("r.id").alias("id"))
+
+
+@query("list_details", "SELECT event_id AS notice_id, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN CAST(value AS DOUBLE) END AS detail FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def list_details(v: Views) -> DataFrame:
+    """The events as a stream of lists, and details of two thirds of them as another one, some before and some after their list: joined as they come, those of the last day left out, as their details may be to come."""
+    lists = _arriving(v).select(F.col("event_id").alias("notice_id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
+    shift = F.make_dt_interval(mins=(F.pmod("event_id", F.lit(11)) - 5).cast("int") * 10)
+    details = _arriving(v).where("event_id % 3 <> 0").select(F.col("event_id").alias("notice_id"), (F.col("ts") + shift).alias("told_at"), F.col("value").cast("double").alias("detail"))
+    joined = _drained(v, incremental.with_details(lists, details, "notice_id", "at", "told_at"), "list_details")
+    end = v.table("events").agg(F.max("ts").alias("end"))
+    return joined.crossJoin(F.broadcast(end)).where(F.col("at") < F.col("end") - F.expr("INTERVAL 1 DAY")).select("notice_id", "kind", "detail")

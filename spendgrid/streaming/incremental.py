@@ -53,3 +53,15 @@ def sessions(events: DataFrame, at: str, gap: str, *keys: str, watermark: str |
     e = events.withWatermark(at, watermark) if watermark else events
     g = e.groupBy(F.session_window(at, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
+def with_details(lists: DataFrame, details: DataFrame, key: str, at: str, detail_at: str, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Rows of a stream of lists with the columns of their details (another stream, key of the same name), which may come up to `within` before or after them; a list row whose details
+    did not come by then goes without, a detail without its list goes nowhere.
+
+    A left outer join of two streams: the state holds rows until both watermarks (their times less `delay`) have passed them by `within`, and no longer. Null keys meet nothing. Columns of both streams but the
+    key must differ in name."""
+    left = lists.withWatermark(at, delay)
+    right = details.withColumnRenamed(key, f"_{key}").withWatermark(detail_at, delay)
+    near = F.col(detail_at).between(F.col(at) - F.expr(f"INTERVAL {within}"), F.col(at) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (F.col(key) == F.col(f"_{key}")) & near, "left_outer").drop(f"_{key}")

@@ -146,3 +146,39 @@ def test_payloads_are_parsed_once(spark, monkeypatch):
     assert names.count("parsed") == len(normalize.ORDER)
     for df in (*s.tables.values(), s.quarantine, s.report):
         assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_counted_while_they_are_written(spark, tmp_path):
+    """The ledger holds what was written, and no row is made twice for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).mapInArrow(count, "id long").where("id % 4 > 0")
+    told = sinks.record_run(spark, str(tmp_path / "t"), "r1", "src", rows, str(tmp_path / "ledger"), reported=800)
+    assert told["fetched"] == 750 and made.value == 1000 and sinks.published(spark, str(tmp_path / "t")).count() == 750
+    row = sinks.with_deviation(spark.read.schema(sinks.LEDGER).parquet(str(tmp_path / "ledger"))).first()
+    assert (row.run_id, row.reported, row.fetched, row.deviation) == ("r1", 800, 750, 50) and row.started <= row.finished
+    empty = sinks.publish_observed(spark.range(5).where("id > 9"), str(tmp_path / "e"), n=F.count(F.lit(1)), most=F.max("id"))
+    assert empty["n"] == 0 and empty["most"] is None
+
+
+def test_lists_wait_for_their_details(spark, tmp_path):
+    """Details before, after and without their list, too late ones, and lists without any."""
+    import datetime as dt
+
+    from spendgrid.streaming import incremental
+
+    t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    lists = [("a", t(8), 1), ("b", t(8), 2), ("c", t(9), 3), ("d", t(10), 4), (None, t(10), 5), ("z", t(20), 9)]
+    details = [("a", t(8, 30), "after"), ("b", t(7, 15), "before"), ("c", t(11), "too late"), ("x", t(9), "no list"), (None, t(10), "null"), ("zz", t(20), "end")]
+    spark.createDataFrame(lists, "k string, at timestamp, n long").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame(details, "k string, told timestamp, d string").write.parquet(str(tmp_path / "d"))
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    out = incremental.with_details(read("l", "k string, at timestamp, n long"), read("d", "k string, told timestamp, d string"), "k", "at", "told")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.k, r.n, r.d) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 1, "after"), ("b", 2, "before"), ("c", 3, None), ("d", 4, None), (None, 5, None)}
