@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     labels: (key, label 0 or 1); null labels and keys that docs lacks teach nothing, repeated rows teach each. Inputs are identity terms and the words (of whole
     texts) whose chi-squared statistic against the labels is at least `evidence`; Spark counts them, and the driver receives of each
-    text and of each of its swapped copies only these. Without labels scores are 0.5."""
+    text and of each of its swapped copies (made from the words, as a copy differs in one of them) only these. Without labels scores are 0.5."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(5), F.col(key)).alias("h"))
     chosen = chosen.orderBy("h", "y").limit(sample).select("_key", "y")
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_key").select("y", "text")
@@ -199,20 +199,29 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
 
-        def kept(texts: pa.Array) -> list[bytes]:
-            doc, bucket = _features(texts)
-            at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
-            fine = known[at] == bucket
-            stop = 4 * np.cumsum(np.bincount(doc[fine], minlength=len(texts)))
-            raw = at[fine].astype("<i4").tobytes()
-            return [raw[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        place = {w: int(np.searchsorted(known, bucket_of(w))) for _, *g in groups for w in g}
+        others = {}  # of each term's place: the places that its copies hold instead, of a neutral word only if that is an input
+        for neutral, *terms_ in groups:
+            at = int(np.searchsorted(known, bucket_of(neutral)))
+            told = [at] if at < len(known) and known[at] == bucket_of(neutral) else [None]
+            for a in terms_:
+                others.setdefault(place[a], []).extend([*(place[b] for b in terms_ if b != a), *told])
 
         for batch in batches:
             for piece in slices(batch):
-                copies = [swapped(t, groups) for t in piece.column(1).to_pylist()]
-                # each copy is read like a text of its own
-                changed = [kept(pa.array(c, pa.string())) if c else [] for c in copies]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(kept(piece.column(1)), pa.binary()), pa.array(changed, pa.list_(pa.binary()))], names=["y", "words", "swapped"])
+                doc, bucket = _features(piece.column(1))
+                at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
+                fine = known[at] == bucket
+                doc, at = doc[fine], at[fine]
+                cut = np.searchsorted(doc, np.arange(piece.num_rows + 1))
+                own, changed = [], []
+                for i in range(piece.num_rows):
+                    held = at[cut[i] : cut[i + 1]]
+                    own.append(held.astype("<i4").tobytes())
+                    # a copy differs from its text in one word, so its words are made from the text's own
+                    copies = ((a, b) for a in held.tolist() if a in others for b in others[a])
+                    changed.append([np.union1d(held[held != a], [] if b is None else [b]).astype("<i4").tobytes() for a, b in copies])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.binary()), pa.array(changed, pa.list_(pa.binary()))], names=["y", "words", "swapped"])
 
     got = rows.mapInArrow(inputs, "y int, words binary, swapped array<binary>").toPandas()
     flat = lambda cells: (np.repeat(np.arange(len(cells)), [len(x) // 4 for x in cells]), np.frombuffer(b"".join(cells), "<i4").astype(np.int64))

@@ -142,3 +142,29 @@ def test_toxicity_awkward_rows(spark):
     rows = toxicity.score(docs, toxicity.train(docs, odd)).collect()
     assert len(rows) == docs.count() and all(0 <= r.toxicity <= 1 for r in rows)
     assert toxicity.score(H.documents(spark, []), model).count() == 0
+
+
+def test_copies_of_words_are_those_of_texts(spark):
+    """What train() is given of swapped copies, made from a text's words, equals the words of the copied texts; a long text with all terms needs little memory for it."""
+    seen = {}
+    real = toxicity.fit
+
+    def spy(doc, local, y, d, of, copy, copy_local, **options):
+        seen.update(words=[set(local[doc == i]) for i in range(len(y))], copies=[(int(of[k]), frozenset(copy_local[copy == k].tolist())) for k in range(len(of))])
+        return real(doc, local, y, d, of, copy, copy_local, **options)
+
+    terms = sorted({w for _, *g in toxicity.IDENTITY_GROUPS for w in g})
+    rows = [(1, "The Muslims, and a woman (deaf)."), (2, "nobody is named"), (3, "old people; OLD men-women"), (4, " ".join(terms) + " x" * 200_000)]
+    toxicity.fit = spy
+    try:
+        toxicity.train(H.documents(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    finally:
+        toxicity.fit = real
+    names = np.unique([toxicity.bucket_of(w) for w in terms])
+    place = lambda texts: [frozenset(np.searchsorted(names, [b for b in toxicity._features(toxicity.pa.array([t]))[1] if b in set(names)]).tolist()) for t in texts]
+    by_words = {}
+    for i, c in seen["copies"]:
+        by_words.setdefault(frozenset(seen["words"][i]), []).append(c)
+    for _, text in rows[:3]:
+        assert sorted(map(sorted, by_words.get(place([text])[0], []))) == sorted(map(sorted, place(toxicity.swapped(text))))
+    assert len(max(by_words.values(), key=len)) > 900
