@@ -12,9 +12,11 @@ Jaccard similarity of at least t share a token among their first n - ceil(t * n)
   but one make up that many plus one. So two similar sets without a common rare token share two tokens of one
   class in their prefixes, and a set has about two combinations for each token that it may lack, however long it is.
 Each entry carries how many tokens a set cannot share with those that it meets there; two sets share at most what is left.
-Members of an index entry are compared with the one of fewest own tokens (exactly), links are joined to components, and only members
-of one entry that lie in different components are then compared with each other, if hashes of parts of their sets agree as those of similar
-sets must: copies never expand into pairs, and no link between components is lost."""
+Members of an index entry are compared with the one of fewest own tokens, its centre (exactly), links are joined to components, and only
+members of one entry that lie in different components are then compared with each other. In entries of combinations, which may hold a whole
+group of near copies, they meet by what tells them from the centre: of two similar sets that are not both similar to it, the differences from it
+share a token of their prefixes, rarest first. Hashes of parts of two sets must agree as those of similar sets do. Copies never expand into
+pairs, and no link between components is lost."""
 
 from __future__ import annotations
 
@@ -209,6 +211,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, name:
     return out
 
 
+#: Tasks that the members of one centre are dealt to.
+_DEALT = 16
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(links, index) of sets doc_id and the centres `first` that they are compared with; pairs are distinct and materialized.
+
+    links: (a, b) of all pairs that are similar. index: (token, doc_id, n, d, own, near, far), an entry for each centre and token of prefixes of differences.
+    Let D be the difference of a set from the centre f (its tokens that one of the two lacks), d its size, r = (1-t)/(1+t). x and f are similar when
+    d(x) <= r * (|x| + |f|). Similar x and y have d(x) + d(y) - 2 * |D(x) & D(y)| <= r * (|x| + |y|). If x is not similar to f, then
+    |D(x) & D(y)| > (d(y) + r * (|f| - |y|)) / 2 for every such y and, as |y| <= |f| + d(y), it is at least (d(x) - r * (|x| + |f|)) / (1 + r).
+    So prefixes of the differences that leave out as many tokens less one share a token: `far` marks those of x, `near` those of y.
+    own: how many tokens of a difference no other one of the centre has."""
+    num, den = t.numerator, t.denominator
+    wanted = materialize(pairs.select(F.explode(F.array("first", "doc_id")).alias("id")).distinct(), "centre-ids")
+    sets = _arrays(texts.join(small(wanted), texts.doc_id == wanted.id, "left_semi"), width)
+    # several rows with one key are several sets; equal ones are one
+    sets = materialize(sets.withColumn("set", F.xxhash64("tokens")).dropDuplicates(["doc_id", "set"]), "centre-sets", compression="zstd")
+    centres = sets.select(F.col("doc_id").alias("first"), F.col("set").alias("of"), F.col("tokens").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))).alias("deal"))
+    both = pairs.join(sets, "doc_id").withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(_DEALT)).cast("int")).join(centres, ["first", "deal"])
+    diff = F.concat(F.array_except("tokens", "y"), F.array_except("y", "tokens"))
+    both = both.select("first", "of", "doc_id", "set", F.size("tokens").alias("n"), F.size("y").alias("n1"), diff.alias("diff")).withColumn("d", F.size("diff").cast("long"))
+    excess = F.col("d") * (den + num) - (F.col("n") + F.col("n1")) * (den - num)
+    apart = materialize(both.withColumn("excess", excess), "apart", compression="zstd")
+    links = apart.where("excess <= 0").select(F.least("first", "doc_id").alias("a"), F.greatest("first", "doc_id").alias("b")).distinct()
+
+    # only groups with a set that is not similar to the centre
+    open_ = apart.where("excess > 0").select("first", "of").distinct()
+    token = apart.join(open_, ["first", "of"], "left_semi").withColumn("token", F.explode("diff")).drop("diff")
+    token = materialize(token, "difference-tokens", compression="zstd")
+    held = token.groupBy("first", "of", "token").agg(F.count("*").alias("sets"), F.max(F.col("excess") > 0).alias("met")).where("sets > 1")
+    member = "partition by first, of, doc_id, set"
+    ranked = token.join(held, ["first", "of", "token"], "left").withColumn("sets", F.coalesce("sets", F.lit(1)))
+    ranked = ranked.withColumns({"own": F.expr(f"count_if(sets = 1) over ({member})"), "place": F.expr(f"row_number() over ({member} order by sets, token)")})
+    near = F.expr(f"place <= d - (d * {den + num}L + (n1 - n) * {den - num}L) div {2 * (den + num)}L")
+    far = F.expr(f"excess > 0 and place <= d + 1 - (excess + {2 * den - 1}L) div {2 * den}L")
+    ranked = ranked.where("met").select(F.expr("-1 - shiftrightunsigned(xxhash64(first, of, token), 1)").alias("token"), "doc_id", "n", "d", "own", near.alias("near"), far.alias("far"))
+    index = materialize(ranked.where("near or far"), "difference-index")
+    discard(wanted, sets, token)
+    return materialize(links, "centre-links"), index
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -266,13 +310,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     labels = components(links)
 
     # members of one entry in different components: compare each with each, once
-    named = entries.select("token", "doc_id", "n", "u").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    component = lambda rows: rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    named = component(entries.select("token", "doc_id", "n", "u", "first"))
     split = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    # most combinations are common in a group of near copies; sets that share no signature are not similar all the same
+    named = materialize(named.join(split, "token", "left_semi").select("token", "doc_id", "n", "u", "c", "first"), "split")
+    # entries of one token have few members; those of combinations may hold a whole group, and meet by their differences from its centre
+    centred = materialize(named.where("token < 0 and doc_id != first").select("first", "doc_id").distinct(), "centred")
+    near_links, differences = _differences(centred, texts, width, t)
+    singly = named.where("token >= 0").select("token", "doc_id", "n", "u", "c", *(F.lit(None).cast("long").alias(x) for x in ("d", "own")), *(F.lit(True).alias(x) for x in ("near", "far")))
+    differing = component(differences).select("token", "doc_id", "n", F.lit(0).cast("long").alias("u"), "c", "d", "own", "near", "far")
+    met = differing.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("near").alias("near"), F.max("far").alias("far")).where("lo < hi and near and far").select("token")
+    # sets that share no signature are not similar
     marked = materialize(_signatures(reps.join(small(still), "doc_id", "left_semi"), width, t), "signatures", compression="zstd")
-    mixed = materialize(named.join(split, "token", "left_semi").join(marked, "doc_id", "left").select("token", "doc_id", "n", "u", "c", "signatures"), "mixed", compression="zstd")
-    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "signatures")))
-    alike = F.coalesce(F.arrays_overlap("signatures1", "signatures2"), F.lit(True))
+    mixed = singly.unionByName(differing.join(met, "token", "left_semi")).join(marked, "doc_id", "left")
+    mixed = materialize(mixed.select("token", "doc_id", "n", "u", "c", "d", "own", "near", "far", "signatures"), "mixed", compression="zstd")
+    side = lambda s: mixed.select("token", *(F.col(x).alias(x + s) for x in ("doc_id", "n", "u", "c", "d", "own", "near", "far", "signatures")))
+    # what two differences can share is enough for similar sets
+    enough = F.expr(f"(2 * least(d1 - own1, d2 - own2) - d1 - d2) * {t.denominator + t.numerator}L + (n1 + n2) * {t.denominator - t.numerator}L >= 0")
+    alike = F.expr("far1 and near2 or far2 and near1") & F.coalesce(enough, F.lit(True)) & F.coalesce(F.arrays_overlap("signatures1", "signatures2"), F.lit(True))
     # of each entry, members outside its largest component meet all others: its own members never meet each other
     largest = mixed.groupBy("token", "c").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("c", F.struct("held", "c")).alias("largest"))
     outside = side("1").join(materialize(largest, "largest"), "token").where("c1 != largest")
@@ -281,9 +336,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, similarity: float | Frac
     rest = rest.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, texts, width, t, "rest")
-    labels = components(copies.unionByName(links).unionByName(more))
+    labels = components(copies.unionByName(links).unionByName(near_links).unionByName(more))
 
     out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(common, hard_common, classes, marked, index, entries, mixed, stars, rest)
+    discard(common, hard_common, classes, marked, index, entries, named, centred, differences, mixed, stars, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

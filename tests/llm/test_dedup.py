@@ -268,3 +268,60 @@ def test_similar_sets_share_a_signature(spark):
     sets = {i: H.shingles(x, 3) for i, x in rows}
     similar = [i for i in range(0, 120, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
     assert len(similar) > 10 and all(got[i] & got[i + 1] for i in similar) and not got[0] & got[2]
+
+
+def _edited(r, words, times):
+    """words with so many edits: replaced, deleted or inserted words, some of them the same in many texts."""
+    w = list(words)
+    for _ in range(times):
+        k, new = r.randrange(len(w)), r.choice([f"own{r.random()}", f"often{r.randrange(3)}"])
+        w[k : k + 1] = r.choice([[new], [], [w[k], new]])
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_members_apart_from_their_centre_equal_brute_force(spark, monkeypatch, seed):
+    """Groups whose members lie on both sides of the threshold, one key with several texts among them."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    r = random.Random(seed)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(r.randint(60, 120))]
+        variant = base[: len(base) // 2] + [f"v{g}w{i}" for i in range(len(base) // 9)] + base[len(base) // 2 :]
+        rows += [(1000 * g + i, _edited(r, r.choice([base, base, variant]), r.randint(0, 7))) for i in range(120)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(H.documents(spark, rows), 3, Fraction(4, 5)).collect()}
+    want = H.jaccard(rows, 3, 4, 5)
+    assert got == want and len({c for _, c in want.values()}) > 10
+    # the same texts under keys that several share: a key has the links of all its texts
+    shared = {i: i if i % 3 else i - i % 2 for i, _ in rows}
+    again = jaccard_join.jaccard_components(H.documents(spark, [(shared[i], x) for i, x in rows]), 3, Fraction(4, 5)).collect()
+    joined = H.components({*shared.values()}, [(shared[i], shared[c]) for i, (_, c) in want.items()])
+    assert {x.doc_id: x.component_id for x in again} == joined
+
+
+def test_members_outside_a_group_do_not_meet_all_of_it(spark, monkeypatch):
+    """20 texts that are just not similar to a group of 300 near copies, as they add words that some of it add too."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 24)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(places, shared):
+        w = list(base)
+        for k in places:
+            w[k] = f"own{r.random()}"
+        for k in shared:
+            w[k] = "often"
+        return " ".join(w)
+
+    rows = [(0, " ".join(base))] + [(i, edited([r.randrange(8, 140)], [60 + 15 * (i % 2)] if i <= 80 else [])) for i in range(1, 300)] + [(1000 + i, edited([10 + 2 * i, 90 + 2 * i], [60, 75])) for i in range(20)]
+    compared, verified = [], jaccard_join._verified
+
+    def counted(pairs, *others):
+        compared.append((others[-1], pairs.count()))
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(H.documents(spark, rows), 5, Fraction(17, 20)).collect()}
+    want = H.jaccard(rows, 5, 17, 20)
+    assert got == want and sum(c == i for i, (_, c) in want.items() if i >= 1000) == 20
+    assert dict(compared)["rest"] <= 1500
