@@ -30,6 +30,7 @@ class Encoder:
         self.pre, self.model, self.normal = self.whole.pre_tokenizer, self.whole.model, self.whole.normalizer
         # runs of Latin letters are one pre-token each; what the tokenizer makes of each letter is asked of it once
         self.latin = {ord(c): "".join(w for w, _ in self._pre(c)) for c in map(chr, [*range(65, 91), *range(97, 123), *range(128, 256)]) if c.isalpha()}
+        self.plain = all(w == chr(c) for c, w in self.latin.items() if c < 128)  # ASCII letters stay as they are
         self.space = self._pre(" a")[0][0][: -len(self.latin[97])] if keeps_space else ""
         self._reset()
 
@@ -50,9 +51,11 @@ class Encoder:
 
     def _learn(self, chunks: list[str], spaced: bool) -> None:
         codes, prefix = (self.spaced, self.space) if spaced else (self.bare, "")
-        tokenize, latin, flat, ends = self.model.tokenize, self.latin, self.flat, self.ends
+        tokenize, latin, plain, flat, ends = self.model.tokenize, self.latin, self.plain, self.flat, self.ends
         for chunk in chunks:
-            if chunk.isalpha() and max(chunk) < "\u0100":
+            if plain and chunk.isascii() and chunk.isalpha():
+                ids = [t.id for t in tokenize(prefix + chunk)]
+            elif chunk.isalpha() and max(chunk) < "\u0100":
                 ids = [t.id for t in tokenize(prefix + chunk.translate(latin))]
             else:
                 ids = self._composed(chunk, spaced)
@@ -78,10 +81,12 @@ class Encoder:
 
     def _codes(self, chunks: list[str], spaced: bool) -> list[int]:
         get = (self.spaced if spaced else self.bare).get
-        out = [get(c) for c in chunks]
+        out = list(map(get, chunks))
         if None in out:
-            self._learn([c for c, k in zip(chunks, out, strict=True) if k is None], spaced)
-            out = [get(c) for c in chunks]
+            new = [i for i, k in enumerate(out) if k is None]
+            self._learn([chunks[i] for i in new], spaced)
+            for i in new:
+                out[i] = get(chunks[i])
         return out
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ class Encoder:
         off = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
         off -= off[0]
-        at, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         n = len(texts)
         first = np.zeros(len(at), bool)
         first[off[:-1]] = True

@@ -298,3 +298,24 @@ def test_pcm_codes_come_back_whole():
             codes = media.pack_pcm(pcm, size, up)
             assert np.array_equal(np.concatenate([media.unpack_pcm(c) for c in codes]), pcm)
         assert sum(map(len, media.pack_pcm(line, size, up))) == 2 * size.sum() // up + 2 * len(size)
+
+
+def test_letters_that_stay_are_learnt_without_translation():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, c):
+            Counted.asked += 1
+            return super().__getitem__(c)
+
+    enc = Encoder(tokenizers.path("byte_bpe_50k.json"), True)
+    enc.latin = Counted(enc.latin)
+    texts = ["Plain words only and more plain Words", "words again words", "one. two, three\nfour", "", "Plain"]
+    for texts in (texts, texts[::-1]):
+        ids, per = enc.encode(pa.array(texts))
+        want = [enc.whole.encode(x, add_special_tokens=False).ids for x in texts]
+        assert per.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+    assert Counted.asked == 0
+    texts = ["straße Ünïcödé word", "mehr straße ªº µm", "naïve, 中文 déjà."]
+    ids, per = enc.encode(pa.array(texts))
+    assert ids.tolist() == [k for x in texts for k in enc.whole.encode(x, add_special_tokens=False).ids] and Counted.asked > 0
