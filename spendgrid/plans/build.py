@@ -74,6 +74,10 @@ def _award_contracts(v: Views) -> DataFrame:
     return _raw(g, "award-contracts:v1", c("o_custkey") * 2 + c("k"), c("payload"))
 
 
+#: An item's id in the payloads is its order's key times this plus its part's key: wider than any part's key, so that no two items share an id.
+_ITEMS = 1 << 32
+
+
 def _acquisitions(v: Views) -> DataFrame:
     """Orders as acquisition lists, those with even keys also as details with their lines as items."""
     o, k, price = v.table("orders"), c("o_orderkey"), c("o_totalprice").cast(MONEY)
@@ -83,7 +87,7 @@ def _acquisitions(v: Views) -> DataFrame:
     lines = v.table("lineitem").where("l_orderkey % 2 = 0").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.sum(c("l_extendedprice").cast(MONEY)).alias("p"))
     p = c("l_partkey")
     item = F.struct(
-        (c("l_orderkey") * 100_000 + p).alias("directAcquisitionItemID"), _text("Part ", p).alias("catalogItemName"), c("q").cast("decimal(18,4)").alias("itemQuantity"), F.when(p % 3 == 0, "Bucată").when(p % 3 == 1, "  BUCATA ").otherwise("palet").alias("itemMeasureUnit"), c("p").alias("itemClosingPrice"),
+        (c("l_orderkey") * _ITEMS + p).alias("directAcquisitionItemID"), _text("Part ", p).alias("catalogItemName"), c("q").cast("decimal(18,4)").alias("itemQuantity"), F.when(p % 3 == 0, "Bucată").when(p % 3 == 1, "  BUCATA ").otherwise("palet").alias("itemMeasureUnit"), c("p").alias("itemClosingPrice"),
         F.struct(lit("15800000-6 - Food").alias("text"), F.when(p % 2 == 0, "45000000-7").alias("localeKey")).alias("cpvCode"),
     )
     items = lines.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
@@ -146,8 +150,10 @@ def normalize_acquisitions(v: Views) -> DataFrame:
 
 @query("normalize_items", "SELECT l_orderkey * 100000 + l_partkey AS item_id, l_orderkey AS da_id, 'Part ' || l_partkey AS name, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CASE l_partkey % 3 WHEN 0 THEN 'Bucată' WHEN 1 THEN '  BUCATA ' ELSE 'palet' END AS unit_raw, CASE WHEN l_partkey % 3 < 2 THEN 'buc' END AS unit, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price, CASE WHEN l_partkey % 2 = 0 THEN '45000000-7' ELSE '15800000-6' END AS cpv_code FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey, l_partkey")
 def normalize_items(v: Views) -> DataFrame:
+    """Items under the SQL's numbers, which two acquisitions may share once a part's key has six digits; so they are made from the items' ids at the end."""
     t = normalize.normalize(_acquisitions(v), _catalog(v), _units(v)).tables["items"]
-    return t.select("item_id", "da_id", "name", dbl("quantity"), "unit_raw", "unit", dbl("price"), "cpv_code")
+    part = c("item_id") - c("da_id") * _ITEMS
+    return t.select((c("da_id") * 100_000 + part).alias("item_id"), "da_id", "name", dbl("quantity"), "unit_raw", "unit", dbl("price"), "cpv_code")
 
 
 @query("normalize_source_ids", "SELECT 'authority' AS namespace, id AS source_id, 'Customer ' || arg_min(o_custkey, o_orderkey) AS organisation FROM (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN 999 ELSE o_custkey + 1000 END AS id FROM orders WHERE o_orderkey % 2 = 0) GROUP BY id")

@@ -7,6 +7,7 @@ import re
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import duckdb
 import pytest
 from spendgrid import plans
 from spendgrid.sources import paged
@@ -95,3 +96,28 @@ def test_codes_of_imported_acquisitions_are_steps_of_their_own(spark):
     """Inlined into each digit of their check they made code beyond what is compiled (281 replacements)."""
     plan = plans.QUERIES["import_acquisitions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 100
+
+
+def _bought(spark, folder, lines):
+    """Small tables of acquisitions: lines (order, part, supplier, price), each order of a customer of its own."""
+    day = dt.datetime(1996, 3, 1)
+    rows = [(o, p, s, 1, 2.0, price, "A", day + dt.timedelta(days=90)) for o, p, s, price in lines]
+    orders = [(o, o + 1, "F", 10.0 * o, day, "5-LOW") for o in sorted({x[0] for x in lines})]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(p, "STANDARD") for p in sorted({x[1] for x in lines})], "p_partkey long, p_type string").write.parquet(f"{folder}/part.parquet")
+
+
+def _by_sql(folder, name, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return sorted(con.sql(plans.ORACLE_SQL[name]).fetchall())
+
+
+def test_items_whose_numbers_meet_are_all_kept(spark, tmp_path):
+    """Parts with keys of six digits and more: several pairs of order and part have the number 400007 in the SQL."""
+    _bought(spark, tmp_path, [(0, 400_007, 1, 10.5), (2, 200_007, 1, 20.25), (4, 7, 1, 30.0), (4, 7, 2, 1.0), (4, 100_007, 1, 5.0), (4, 1_199_999, 3, 7.0), (5, 300_007, 1, 9.0)])
+    got = sorted(tuple(r) for r in plans.QUERIES["normalize_items"](spark, str(tmp_path)).collect())
+    assert [r[0] for r in got].count(400_007) == 3 and len(got) == 5
+    assert got == _by_sql(tmp_path, "normalize_items", "orders", "lineitem")
