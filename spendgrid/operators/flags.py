@@ -196,12 +196,13 @@ def all_flags(da: DataFrame, limits: Limits) -> DataFrame:
 
 
 def flag_totals(da: DataFrame, limits: Limits) -> DataFrame:
-    """(flag_code, n): how many flags of each code there are, those of single rows counted without writing them."""
+    """(flag_code, n): how many flags of each code there are, 0 where none; those of single rows are counted without writing them."""
     years = stored(pair_years(da, limits), "pair-years")
     pairs = pair_totals_of(years)
-    rows = da.agg(F.count_if(is_rapid(limits)).alias("a"), F.count_if(is_round(limits)).alias("b")).select(F.explode(F.create_map(F.lit("da_rapid"), "a", F.lit("da_round"), "b")).alias("flag_code", "n")).where("n > 0")
-    for g in (split_of(years, limits), captured(pairs, limits), dependent(pairs, limits), year_end_of(years, limits)):
-        rows = rows.unionByName(g.groupBy("flag_code").agg(F.count("*").alias("n")))
+    rows = da.agg(F.count_if(is_rapid(limits)).alias("a"), F.count_if(is_round(limits)).alias("b")).select(F.explode(F.create_map(F.lit("da_rapid"), "a", F.lit("da_round"), "b")).alias("flag_code", "n"))
+    sums = {"da_split": split_of(years, limits), "da_concentration": captured(pairs, limits), "da_dependence": dependent(pairs, limits), "da_year_end": year_end_of(years, limits)}
+    for code, g in sums.items():
+        rows = rows.unionByName(g.agg(F.count("*").alias("n")).withColumn("flag_code", F.lit(code)))
     return rows
 
 

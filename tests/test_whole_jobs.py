@@ -121,3 +121,12 @@ def test_items_whose_numbers_meet_are_all_kept(spark, tmp_path):
     got = sorted(tuple(r) for r in plans.QUERIES["normalize_items"](spark, str(tmp_path)).collect())
     assert [r[0] for r in got].count(400_007) == 3 and len(got) == 5
     assert got == _by_sql(tmp_path, "normalize_items", "orders", "lineitem")
+
+
+def test_flags_that_nothing_sets_are_counted_as_none(spark, tmp_path):
+    codes = {"da_rapid", "da_round", "da_split", "da_concentration", "da_dependence", "da_year_end"}
+    for name, lines in (("few", [(0, 1, 1, 10.5), (1, 2, 2, 79_000.0), (2, 2, 2, 20.25)]), ("none", [(0, 1, 1, 10.5)])):
+        _bought(spark, tmp_path / name, lines)
+        got = sorted(tuple(r) for r in plans.QUERIES["flag_counts"](spark, str(tmp_path / name)).collect())
+        assert {code for code, _ in got} == codes and got == _by_sql(tmp_path / name, "flag_counts", "orders", "lineitem", "part")
+        assert (dict(got)["da_round"], dict(got)["da_split"]) == (int(name == "few"), 0)
